@@ -61,11 +61,11 @@ JUDGED = (
 )
 
 
-def facts(keys: str, source: str = "judged") -> str:
+def facts(keys: str, source: str = "judged", name: str = "facts") -> str:
     """Profile statistics, straight from the definition."""
     bins = ", ".join(f"median(value) FILTER (reason IS NULL AND ({BIN}) = {i}) AS bin_{i}" for i in range(1, 8))
     return (
-        f"facts AS (SELECT {keys}, profile_id, count(*) AS raw_rows, count(*) FILTER (reason IS NULL) AS valid_rows, "
+        f"{name} AS (SELECT {keys}, profile_id, count(*) AS raw_rows, count(*) FILTER (reason IS NULL) AS valid_rows, "
         "count(*) FILTER (reason IS NULL AND pres BETWEEN 0 AND 500) AS rows_0_500, "
         "min(platform_number) FILTER (reason IS NULL) AS platform_number, min(time) AS time, min(latitude) AS latitude, "
         "min(longitude) AS longitude, median(value) FILTER (reason IS NULL) AS full_value, "
@@ -77,26 +77,34 @@ def facts(keys: str, source: str = "judged") -> str:
 
 BATCH = ", ".join([OBS, SEL, SEL_PARAM, ROWS, JUDGED])
 BATCH_FACTS = BATCH + ", " + facts("selection_id, parameter")
-LONG = (
-    f"{OBS}, val AS (SELECT obs.*, p.parameter, {VALUE} AS value, {FLAG} AS flag FROM obs, "
-    f"(VALUES ('temperature'), ('salinity')) p(parameter)), judged AS (SELECT *, {REASON} AS reason FROM val)"
-)
-SETS = (
-    LONG
-    + ", "
-    + facts("parameter")
-    + ", sets AS (SELECT parameter, profile_id, platform_number, time, latitude, longitude, full_value AS profile_value "
-    "FROM facts WHERE full_value IS NOT NULL UNION ALL SELECT parameter || '_shallow', profile_id, platform_number, time, "
-    "latitude, longitude, shallow_value FROM facts WHERE shallow_value IS NOT NULL UNION ALL SELECT parameter || '_upper_100', "
-    "profile_id, platform_number, time, latitude, longitude, upper_100_value FROM facts WHERE upper_100_value IS NOT NULL)"
-)
+
+
+def long_form(p: str = "") -> str:
+    """Both parameters of every observation; ``p`` prefixes the names of the tables."""
+    return (
+        f"{p}val AS (SELECT obs.*, p.parameter, {VALUE} AS value, {FLAG} AS flag FROM obs, "
+        f"(VALUES ('temperature'), ('salinity')) p(parameter)), {p}judged AS (SELECT *, {REASON} AS reason FROM {p}val)"
+    )
+
+
+def profile_sets(p: str = "") -> str:
+    one = (
+        "SELECT parameter || '{suffix}' AS parameter, profile_id, platform_number, time, latitude, longitude, {c} AS profile_value "
+        "FROM {p}facts WHERE {c} IS NOT NULL"
+    )
+    parts = [("", "full_value"), ("_shallow", "shallow_value"), ("_upper_100", "upper_100_value")]
+    union = " UNION ALL ".join(one.format(suffix=x, c=c, p=p) for x, c in parts)
+    return ", ".join([long_form(p), facts("parameter", f"{p}judged", f"{p}facts"), f"sets AS ({union})"])
+
+
+LONG = f"{OBS}, {long_form()}"
+SETS = f"{OBS}, {profile_sets()}"
 _REGIONS = (
     "(VALUES ('bay-of-bengal', 5, 22, 80, 100), ('arabian-sea', 8, 25, 55, 75), ('lakshadweep-sea', 7, 15, 70, 77), "
     "('andaman-sea', 6, 15, 92, 100), ('equatorial-indian', -10, 10, 40, 100)) r(id, s, n, w, e)"
 )
-CLIM = (
-    SETS
-    + ", tagged AS (SELECT sets.*, 'global' AS selection_type, 'all-available' AS selection_id FROM sets "
+CLIM_FROM_SETS = (
+    "tagged AS (SELECT sets.*, 'global' AS selection_type, 'all-available' AS selection_id FROM sets "
     "UNION ALL SELECT sets.*, 'grid', 'grid-' || CAST(CAST(floor(latitude / 2) * 2 AS INT) AS VARCHAR) || '-' || "
     "CAST(CAST(floor(longitude / 2) * 2 AS INT) AS VARCHAR) FROM sets "
     f"UNION ALL SELECT sets.*, 'region', r.id FROM sets JOIN {_REGIONS} ON latitude BETWEEN r.s AND r.n AND longitude BETWEEN r.w AND r.e), "
@@ -108,5 +116,8 @@ CLIM = (
 )
 
 
+CLIM = f"{SETS}, {CLIM_FROM_SETS}"
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ", ".join(parts) + " "

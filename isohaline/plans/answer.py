@@ -67,7 +67,7 @@ def prepare(obs: DataFrame, selections: DataFrame, keep: bool = True) -> Prepare
 
 def targets(prepared: Prepared) -> DataFrame:
     """One row per selection and asked parameter."""
-    return prepared.selections.withColumn("parameter", F.explode("parameters")).drop("parameters")
+    return prepared.selections.withColumn("parameter", F.explode("parameters"))
 
 
 def graded(prepared: Prepared, climatology: DataFrame, thresholds: dict = THRESHOLDS) -> DataFrame:
@@ -181,7 +181,7 @@ def evidence_panel(prepared: Prepared, rows: DataFrame, thresholds: dict = THRES
     sources = trace(prepared.judged, prepared.facts).select(
         *keys, "profile_ids", "float_ids", "source_records", F.col("truncated").alias("trace_sample_truncated")
     )
-    checked = rows.where(F.col("status") == "ok").withColumn("evidence_checks", evidence_checks(rows, thresholds))
+    checked = rows.where(F.col("status") == "ok").withColumn("evidence_checks", evidence_checks(thresholds))
     out = checked.join(bins, keys, "left").join(positions, keys, "left").join(sources, keys, "left")
     panel = F.struct(
         "raw_profile_count", "valid_profile_count", "excluded_profile_count",
