@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("cleaning", "selecting", "viewing", "climate", "answering")
+FAMILIES = ("cleaning", "selecting", "viewing", "climate", "answering", "texts")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
