@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from catalog.fixture import OBS, SEL, observations, selections, table
 from catalog.sqlparts import BATCH, DIST, LONG, ROWS, WHEN, box, dist, facts, with_
 from isohaline.operators import ingest, lineage, profiles, quality, selection
-from isohaline.operators.climatology import judged_both, tag_regions
+from isohaline.operators.climatology import tag_regions
+from isohaline.operators.quality import judged_both
 
 
 def r6(name: str, alias: str | None = None):
@@ -24,7 +25,7 @@ def judged(spark, sf_dir) -> DataFrame:
 
 
 def batch_facts(spark, sf_dir) -> DataFrame:
-    return profiles.profile_facts(judged(spark, sf_dir))
+    return profiles.selected_facts(observations(spark, sf_dir), selections(spark, sf_dir))
 
 
 # -- one literal selection --------------------------------------------------------------------------
@@ -84,7 +85,7 @@ def paired_rows(spark, sf_dir):
 
 
 def _global_facts(spark, sf_dir):
-    return profiles.profile_facts(judged_both(observations(spark, sf_dir)), keys=("parameter",))
+    return profiles.observation_facts(observations(spark, sf_dir))
 
 
 def _profile_set(name):
@@ -163,7 +164,7 @@ def float_positions(spark, sf_dir):
 
 def trace(spark, sf_dir):
     rows = judged(spark, sf_dir)
-    out = lineage.trace(rows, profiles.profile_facts(rows))
+    out = lineage.trace(rows, batch_facts(spark, sf_dir))
     lists = {c: F.concat_ws(",", c) for c in ("profile_ids", "float_ids", "source_records")}
     return out.withColumns(lists)
 

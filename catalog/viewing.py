@@ -9,7 +9,7 @@ from catalog.selecting import _global_facts, batch_facts, judged, r6
 from catalog.sqlparts import BATCH, BATCH_FACTS, BIN, LABEL, LONG, MID, facts, with_
 from isohaline.functions.measures import bin_label, bin_mid, depth_bin, seawater_density, unit_of
 from isohaline.operators import quality, supplementary, views
-from isohaline.operators.climatology import judged_both
+from isohaline.operators.quality import judged_both
 from isohaline.plans import report
 
 

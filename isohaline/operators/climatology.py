@@ -6,19 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohaline.functions.geo import cell_edge, grid_id, haversine_km, in_box
-from isohaline.operators.profiles import profile_facts, profile_sets
-from isohaline.operators.quality import judge
+from isohaline.operators.profiles import observation_facts, profile_sets
+from isohaline.operators.quality import judged_both
 from isohaline.vocabulary import CLIMATOLOGY_PERIODS, CLIMATOLOGY_POLICY, REGIONS
 
 CLIMATOLOGY_REGIONS = [r for r in REGIONS if r[7]]
 
 
-def judged_both(obs: DataFrame) -> DataFrame:
-    """Temperature and salinity of every row in one scan."""
-    both = F.array(F.lit("temperature"), F.lit("salinity"))
-    return judge(obs.withColumn("parameter", F.explode(both)))
-
-
 def region_tags(lat, lon, regions=CLIMATOLOGY_REGIONS):
     """Ids of all boxes that hold a position (boxes overlap), as a native array expression."""
     inside = [
@@ -34,7 +28,7 @@ def tag_regions(df: DataFrame, regions=CLIMATOLOGY_REGIONS) -> DataFrame:
 
 def climatology_sets(obs: DataFrame) -> DataFrame:
     """parameter (six names), profile_id, platform, time, position, profile_value."""
-    return profile_sets(profile_facts(judged_both(obs), keys=("parameter",)), keys=("parameter",))
+    return profile_sets(observation_facts(obs), keys=("parameter",))
 
 
 def build_climatology(sets: DataFrame, input_sha256: str = "", periods=CLIMATOLOGY_PERIODS) -> DataFrame:

@@ -1,8 +1,12 @@
 """One row per (keys, profile): everything the views need, in a single shuffle.
 
 All views except the observation-level ones (month-depth grid, density, pairs) read this table, which is two
-to three orders of magnitude smaller than the observations. Catalyst drops the aggregates that a view does
-not use. Partial aggregation runs on the map side, where the rows of a profile lie together.
+to three orders of magnitude smaller than the observations. Partial aggregation runs on the map side, where
+the rows of a profile lie together.
+
+A profile normally has one place and one time. ``observation_facts`` relies on that for speed, proves it per
+profile with minima and maxima, and sends the profiles where it does not hold through ``profile_facts``,
+which takes every "first" value in a declared row order.
 """
 
 from __future__ import annotations
@@ -11,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohaline.functions.measures import depth_bin
-from isohaline.operators.quality import KEYS
+from isohaline.operators.quality import KEYS, by_parameter, judged_both
+from isohaline.operators.selection import select_observations, select_profiles, selection_spans, within_hull
+from isohaline.session import BROADCAST_ROWS, written
 from isohaline.vocabulary import DEPTH_BINS, PROFILE_SETS, REJECT_REASONS
 
 BIN_COLUMNS = [f"bin_{i}" for i in range(1, len(DEPTH_BINS) + 1)]
@@ -26,17 +32,92 @@ def level_order(columns) -> Column:
     return F.struct(*[c for c in ("pres", "source_row") if c in columns])
 
 
-def profile_facts(judged: DataFrame, keys=KEYS) -> DataFrame:
-    kept, pres, value = F.col("kept"), F.col("pres"), F.col("value")
-    slabs = {"full": kept, "shallow": kept & pres.between(0, 10), "upper_100": kept & pres.between(0, 100)}
-    identity = F.struct("platform_number", "time", "latitude", "longitude")
-    rows, levels = row_order(judged.columns), level_order(judged.columns)
-    aggs = [
+def _counts(kept: Column, pres: Column) -> list[Column]:
+    return [
         F.count("*").alias("raw_rows"),
         F.count_if(kept).alias("valid_rows"),
         F.count_if(kept & pres.between(0, 500)).alias("rows_0_500"),
         *[F.count_if(F.col("reject_reason") == r).alias(f"n_{r}") for r in REJECT_REASONS],
     ]
+
+
+def _bin_medians(kept: Column, pres: Column, value: Column) -> list[Column]:
+    bins = depth_bin(pres)
+    return [F.median(F.when(kept & (bins == i), value)).alias(c) for i, c in enumerate(BIN_COLUMNS, 1)]
+
+
+def quick_facts(judged: DataFrame, keys=("parameter",)) -> DataFrame:
+    """Facts of profiles with one place and time each; ``uniform`` says for which profiles that holds."""
+    kept, pres, value = F.col("kept"), F.col("pres"), F.col("value")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("time", "latitude", "longitude") for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    shallow = F.when(kept & pres.between(0, 10), level_order(judged.columns))
+    facts = judged.groupBy(*keys, "profile_id", "platform_number").agg(
+        *_counts(kept, pres),
+        *ends,
+        F.median(F.when(kept, value)).alias("full_value"),
+        F.median(F.when(kept & pres.between(0, 100), value)).alias("upper_100_value"),
+        F.min_by(value, shallow).alias("shallow_value"),
+        *_bin_medians(kept, pres, value),
+    )
+    same = [F.col(f"lo_{c}").eqNullSafe(F.col(f"hi_{c}")) for c in ("time", "latitude", "longitude")]
+    out = facts.withColumn("uniform", same[0] & same[1] & same[2])
+    out = out.withColumnsRenamed({f"lo_{c}": c for c in ("time", "latitude", "longitude")})
+    return out.drop(*[f"hi_{c}" for c in ("time", "latitude", "longitude")])
+
+
+def _finish(quick: DataFrame, keys) -> DataFrame:
+    """The columns of ``profile_facts`` from uniform quick facts."""
+    ident = F.struct("platform_number", "time", "latitude", "longitude")
+    out = quick.withColumns({f"{s}_id": F.when(F.col(f"{s}_value").isNotNull(), ident) for s in PROFILE_SETS})
+    if "distance_km" in quick.columns:
+        out = out.withColumn("nearest_km", F.when(F.col("valid_rows") > 0, F.col("distance_km")))
+    out = out.withColumn("platform_number", F.when(F.col("valid_rows") > 0, F.col("platform_number")))
+    return out.drop("uniform", "time", "latitude", "longitude", "distance_km")
+
+
+def _mixed_rows(rows: DataFrame, quick: DataFrame) -> DataFrame | None:
+    """Observations of the profiles that are not uniform; None when there are none (the usual case)."""
+    mixed = quick.where(~F.col("uniform")).select("profile_id").distinct()
+    return None if mixed.isEmpty() else rows.join(mixed, "profile_id", "left_semi")
+
+
+def _with_mixed(uniform: DataFrame, exact: DataFrame | None) -> DataFrame:
+    return uniform if exact is None else uniform.unionByName(exact.select(*uniform.columns))
+
+
+def observation_facts(obs: DataFrame) -> DataFrame:
+    """Facts of every profile for temperature and salinity, keyed by parameter."""
+    keys = ("parameter",)
+    quick = written(quick_facts(judged_both(obs)), "profiles")
+    mixed = _mixed_rows(obs, quick)
+    exact = None if mixed is None else profile_facts(judged_both(mixed), keys)
+    if exact is not None:
+        quick = quick.join(mixed.select("profile_id").distinct(), "profile_id", "left_anti")
+    return _with_mixed(_finish(quick, keys), exact)
+
+
+def selected_facts(obs: DataFrame, selections: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Facts keyed by selection and asked parameter.
+
+    The observations inside the common box and period are reduced to profiles once, whatever the number
+    of selections; only profiles meet the selections.
+    """
+    inside = within_hull(obs, selection_spans(selections))
+    quick = written(quick_facts(judged_both(inside)), "profiles")
+    mixed = _mixed_rows(inside, quick)
+    exact = None
+    if mixed is not None:
+        quick = quick.join(mixed.select("profile_id").distinct(), "profile_id", "left_anti")
+        exact = profile_facts(by_parameter(select_observations(mixed, selections, max_broadcast_rows)))
+    return _with_mixed(_finish(select_profiles(quick, selections, max_broadcast_rows), KEYS), exact)
+
+
+def profile_facts(judged: DataFrame, keys=KEYS) -> DataFrame:
+    kept, pres, value = F.col("kept"), F.col("pres"), F.col("value")
+    slabs = {"full": kept, "shallow": kept & pres.between(0, 10), "upper_100": kept & pres.between(0, 100)}
+    identity = F.struct("platform_number", "time", "latitude", "longitude")
+    rows, levels = row_order(judged.columns), level_order(judged.columns)
+    aggs = _counts(kept, pres)
     for name, inside in slabs.items():
         order = levels if name == "shallow" else rows
         aggs.append(F.min_by(identity, F.when(inside, order)).alias(f"{name}_id"))
@@ -44,8 +125,7 @@ def profile_facts(judged: DataFrame, keys=KEYS) -> DataFrame:
             aggs.append(F.min_by(value, F.when(inside, levels)).alias("shallow_value"))
         else:
             aggs.append(F.median(F.when(inside, value)).alias(f"{name}_value"))
-    bins = depth_bin(pres)
-    aggs += [F.median(F.when(kept & (bins == i), value)).alias(c) for i, c in enumerate(BIN_COLUMNS, 1)]
+    aggs += _bin_medians(kept, pres, value)
     if "distance_km" in judged.columns:
         aggs.append(F.min(F.when(kept, F.col("distance_km"))).alias("nearest_km"))
     facts = judged.groupBy(*keys, "profile_id").agg(*aggs)

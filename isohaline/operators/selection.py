@@ -146,27 +146,32 @@ def _spans(selections: DataFrame, radius: Column) -> DataFrame:
     )
 
 
-def _match(obs: DataFrame, spans: DataFrame, max_broadcast_rows: int) -> DataFrame:
-    """Cell equi-join, then the exact box, period and recurring tests. Adds ``distance_km`` for points."""
+def within_hull(obs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows inside one literal box and period around all selections.
+
+    Literals are pushed into the Parquet scan and prune year partitions. One row of minima and maxima comes
+    to the driver.
+    """
     hull = spans.agg(
         F.min("_south"), F.max("_north"), F.min("_west"), F.max("_east"), F.min("_from"), F.max("_to")
     ).first()
     if hull[0] is None or hull[4] is None:
-        obs = obs.where(F.lit(False))
-    else:
-        # One literal box and period around all selections: pushed into the scan, prunes year partitions.
-        obs = box_select(obs, *hull)
-        if "year" in obs.columns:
-            obs = obs.where(F.col("year").between(hull[4].year, hull[5].year))
+        return obs.where(F.lit(False))
+    obs = box_select(obs, *hull)
+    return obs.where(F.col("year").between(hull[4].year, hull[5].year)) if "year" in obs.columns else obs
+
 
+def _match(obs: DataFrame, spans: DataFrame, max_broadcast_rows: int, extra_keys=()) -> DataFrame:
+    """Cell equi-join, then the exact box, period and recurring tests. Adds ``distance_km`` for points."""
     cells = spans.withColumn("_cy", F.explode(F.sequence(cell_index(F.col("_south")), cell_index(F.col("_north")))))
     cells = cells.withColumn("_cx", F.explode(F.sequence(cell_index(F.col("_west")), cell_index(F.col("_east")))))
     obs = obs.withColumns({"_cy": cell_index(F.col("latitude")), "_cx": cell_index(F.col("longitude"))})
     cells, small = broadcast_if_small(cells, max_broadcast_rows)
-    keys = ["_cy", "_cx"]
+    keys = ["_cy", "_cx", *extra_keys]
     if not small:
         # Too many selections to ship everywhere: shuffle both sides, with every cell split over several keys.
-        spread = F.pmod(F.xxhash64("profile_id", "pres"), F.lit(HOT_CELL_SPLITS)).cast("int")
+        row = [c for c in ("profile_id", "pres") if c in obs.columns]
+        spread = F.pmod(F.xxhash64(*row), F.lit(HOT_CELL_SPLITS)).cast("int")
         obs = obs.withColumn("_split", spread)
         cells = cells.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(HOT_CELL_SPLITS - 1))))
         keys.append("_split")
@@ -178,14 +183,15 @@ def _match(obs: DataFrame, spans: DataFrame, max_broadcast_rows: int) -> DataFra
         & in_recurring(month, F.col("_month"), F.col("_season"))
     )
     distance = F.when(F.col("_point"), haversine_km(F.col("_lat"), F.col("_lon"), lat, lon))
-    return obs.join(cells, keys).where(exact).withColumn("distance_km", distance).drop(*keys)
+    return obs.join(cells, keys).where(exact).withColumn("distance_km", distance).drop("_cy", "_cx", "_split")
 
 
 def select_observations(
     obs: DataFrame, selections: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """selection_id, parameters, the observation columns and distance_km of every matching row."""
-    matched = _match(obs, _spans(selections, F.col("radius_km")), max_broadcast_rows)
+    spans = _spans(selections, F.col("radius_km"))
+    matched = _match(within_hull(obs, spans), spans, max_broadcast_rows)
     kept = matched.where(~F.col("_point") | (F.col("distance_km") <= F.col("_radius")))
     lead = ["selection_id"] + (["parameters"] if "parameters" in selections.columns else [])
     return kept.select(*lead, *obs.columns, "distance_km")
@@ -202,6 +208,11 @@ def _covers(radius: Column) -> Column:
     return box & (F.col("distance_km") <= radius)
 
 
+def positions(obs: DataFrame) -> DataFrame:
+    """Distinct places and times: all levels of a profile collapse on the map side."""
+    return obs.distinct()
+
+
 def resolve_radii(
     obs: DataFrame, selections: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -209,7 +220,8 @@ def resolve_radii(
 
     Adds requested_radius_km, actual_radius_km, radius_expanded, matched (points only), probe_radius_km and
     nearest_probe_km; radius_km becomes the radius to search with. An explicit radius is never widened.
-    The scan reads position and time only and is reduced to one row per selection on the map side.
+    The scan reads position and time only, collapses to distinct places and times, and ends as one row per
+    selection.
     """
     requested = F.col("radius_km")
     widest = F.lit(max(EXPANSION_TIERS_KM))
@@ -221,8 +233,9 @@ def resolve_radii(
         .drop("parameters")
     )
     reach = F.greatest(requested, F.col("_probe"), F.when(implicit, widest).otherwise(requested))
-    light = obs.select(*[c for c in ("profile_id", "pres", "time", "latitude", "longitude", "calendar_month", "year") if c in obs.columns])
-    rows = _match(light, _spans(points, reach), max_broadcast_rows)
+    light = obs.select(*[c for c in ("profile_id", "time", "latitude", "longitude", "calendar_month", "year") if c in obs.columns])
+    spans = _spans(points, reach)
+    rows = _match(positions(within_hull(light, spans)), spans, max_broadcast_rows)
     tier = F.when(_covers(F.col("_requested")), F.col("_requested"))
     for step in EXPANSION_TIERS_KM:
         tier = tier.when(implicit & (F.lit(step) > F.col("_requested")) & _covers(F.lit(step)), F.lit(step))
@@ -248,7 +261,8 @@ def resolve_radii(
 def no_data_probe(resolved: DataFrame) -> DataFrame:
     """Point selections without a row: nearest distance inside the probe and the radius to try next."""
     near = F.col("nearest_probe_km")
-    suggestion = F.least(F.lit(MAX_RADIUS_KM), F.ceil((near + 25.0) / 50.0) * 50.0)
+    # ``least`` skips NULL, so the absence of a neighbour has to be stated.
+    suggestion = F.when(near.isNotNull(), F.least(F.lit(MAX_RADIUS_KM), F.ceil((near + 25.0) / 50.0) * 50.0))
     return resolved.where(F.col("matched") == F.lit(False)).select(
         "selection_id",
         "requested_radius_km",
@@ -258,6 +272,27 @@ def no_data_probe(resolved: DataFrame) -> DataFrame:
     )
 
 
+def select_profiles(
+    facts: DataFrame, selections: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Match selections with profile facts that have one place and time each.
+
+    ``facts`` carry parameter (temperature or salinity), profile_id, latitude, longitude and time. The result
+    has one row per selection, asked parameter and profile: the observations were reduced before the
+    selections multiplied anything.
+    """
+    spans = _spans(selections, F.col("radius_km")).withColumn("_asked", F.explode("parameters")).drop("parameters")
+    spans = spans.withColumn("parameter", F.when(F.col("_asked") == "salinity", "salinity").otherwise("temperature"))
+    matched = _match(facts, spans, max_broadcast_rows, ("parameter",))
+    kept = matched.where(~F.col("_point") | (F.col("distance_km") <= F.col("_radius")))
+    rest = [c for c in facts.columns if c != "parameter"]
+    return kept.select("selection_id", F.col("_asked").alias("parameter"), *rest, "distance_km")
+
+
+def selection_spans(selections: DataFrame) -> DataFrame:
+    return _spans(selections, F.col("radius_km"))
+
+
 def fill_from_secondary(local: DataFrame, secondary: DataFrame, selections: DataFrame) -> DataFrame:
     """Rows of a second source for dated point selections that have no local row; tags the source."""
     eligible = selections.where(

@@ -11,7 +11,7 @@ from isohaline.functions.measures import climatology_parameter, unit_of
 from isohaline.operators.anomaly import baseline_month, lookup_climatology, score
 from isohaline.operators.evidence import evidence_checks, evidence_grade, quality_warning, score_allowed
 from isohaline.operators.lineage import float_positions, trace
-from isohaline.operators.profiles import profile_facts
+from isohaline.operators.profiles import selected_facts
 from isohaline.operators.quality import KEYS, by_parameter, quality_audit
 from isohaline.operators.selection import (
     no_data_probe,
@@ -48,8 +48,8 @@ class Prepared:
 def prepare(obs: DataFrame, selections: DataFrame, keep: bool = True) -> Prepared:
     """Validate, resolve radii, select, judge and reduce to profile facts.
 
-    With ``keep`` the two small tables (resolved selections, profile facts) are written out, so the branches
-    of an answer read them instead of scanning the observations again.
+    With ``keep`` the resolved selections are written out; the profile table always is. So the branches of an
+    answer read two small tables instead of scanning the observations again.
     """
     checked = selection_violations(with_region_bounds(selections))
     valid = checked.where(F.size("violations") == 0).drop("violations")
@@ -58,9 +58,7 @@ def prepare(obs: DataFrame, selections: DataFrame, keep: bool = True) -> Prepare
     if keep:
         resolved = written(resolved, "selections")
     judged = by_parameter(select_observations(obs, resolved))
-    facts = profile_facts(judged)
-    if keep:
-        facts = written(facts, "facts")
+    facts = selected_facts(obs, resolved)
     rejected = checked.where(F.size("violations") > 0).select("selection_id", "violations")
     return Prepared(rejected, resolved, judged, facts)
 
