@@ -158,7 +158,7 @@ def selection_violations(spark, sf_dir):
 
 
 def float_positions(spark, sf_dir):
-    out = lineage.float_positions(judged(spark, sf_dir))
+    out = lineage.float_positions(judged(spark, sf_dir), batch_facts(spark, sf_dir))
     return out.select("selection_id", "parameter", "platform_number", r6("latitude"), r6("longitude"), "profile_count")
 
 

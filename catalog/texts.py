@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixture import table
 from isohaline import vocabulary as v
+from isohaline.session import spread_if_narrow
 from isohaline.plans import questions
 
 TODAY = date(2026, 8, 22)
@@ -29,16 +30,16 @@ def _tags(df: DataFrame, ids: list[str]) -> DataFrame:
 
 def document_tags(spark, sf_dir):
     """Intent of every document, over its whole text."""
-    return _tags(table(spark, sf_dir, "documents"), ["doc_id"])
+    return _tags(spread_if_narrow(table(spark, sf_dir, "documents")), ["doc_id"])
 
 
 def conversation_tags(spark, sf_dir):
-    return _tags(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    return _tags(spread_if_narrow(table(spark, sf_dir, "conversations")), ["conv_id", "turn"])
 
 
 def conversation_places(spark, sf_dir):
     """Place, period and view of every conversation turn (most are rejected for want of a place)."""
-    out = questions.annotate_questions(table(spark, sf_dir, "conversations"), "text", TODAY)
+    out = questions.annotate_questions(spread_if_narrow(table(spark, sf_dir, "conversations")), "text", TODAY)
     return out.select("conv_id", "turn", "label", "region_id", "query_type", F.col("date_from").cast("string").alias("date_from"), "rejection")
 
 
@@ -93,7 +94,7 @@ def question_texts(spark, sf_dir) -> DataFrame:
         F.when(k % 23 == 0, " and rainfall").otherwise(""),
         F.lit("?"),
     )
-    return table(spark, sf_dir, "orders").select(F.concat(F.lit("Q"), k.cast("string")).alias("question_id"), text.alias("text"))
+    return spread_if_narrow(table(spark, sf_dir, "orders")).select(F.concat(F.lit("Q"), k.cast("string")).alias("question_id"), text.alias("text"))
 
 
 def _annotated(spark, sf_dir):

@@ -6,6 +6,10 @@ texts with a non-ASCII character are shipped to Python (NULL is shipped for all
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,12 +67,24 @@ def phrases(family: list[str]) -> str:
     return f"{START}(?:{'|'.join(bodies)}){END}"
 
 
+def mentions(text: Column, literals) -> Column:
+    """Does any literal occur at all? A byte search that spares most texts the pattern."""
+    found = [text.contains(x) for x in dict.fromkeys(literals)]
+    return reduce(or_, found)
+
+
 def has(text: Column, family: list[str]) -> Column:
-    return text.rlike(phrases(family))
+    stems = [re.split(r"[\s\\]", p)[0] for p in family]
+    return mentions(text, stems) & text.rlike(phrases(family))
+
+
+def word(text: Column, pattern: str, *literals: str) -> Column:
+    return mentions(text, literals or [pattern]) & text.rlike(f"{START}(?:{pattern}){END}")
 
 
-def word(text: Column, pattern: str) -> Column:
-    return text.rlike(f"{START}(?:{pattern}){END}")
+def digits(text: Column) -> Column:
+    """Every number pattern needs one; computed once per text."""
+    return text.rlike("[0-9]")
 
 
 def extract(text: Column, pattern: str, group: int) -> Column:
@@ -110,9 +126,9 @@ def intent_flags(text: Column) -> dict[str, Column]:
         "profile": PROFILE_PHRASES, "series": SERIES_PHRASES, "regional": REGIONAL_PHRASES, "anomaly": ANOMALY_PHRASES,
     }
     flags = {f"_is_{name}": has(text, family) for name, family in families.items()}
-    flags["_is_trend"] = text.rlike(TREND_QUESTION)
-    flags["_is_depth"] = text.rlike(DEPTH)
-    flags["_is_years"] = text.rlike(YEARS) | text.rlike(LAST_N)
+    flags["_is_trend"] = mentions(text, ["rising", "falling", "creasing"]) & text.rlike(TREND_QUESTION)
+    flags["_is_depth"] = F.col("_digits") & text.rlike(DEPTH)
+    flags["_is_years"] = F.col("_digits") & (text.rlike(YEARS) | text.rlike(LAST_N))
     return flags
 
 
@@ -144,7 +160,8 @@ def view_of(parameters: Column, anomaly: Column, in_region: Column) -> Column:
 
 def radius_of(text: Column) -> Column:
     """struct(radius_km, explicit, rejected)."""
-    given = F.coalesce(extract(text, RADIUS, 1), extract(text, RADIUS, 2)).cast("double")
+    spelled = F.col("_digits") & mentions(text, ["km", "kilomet"])
+    given = F.when(spelled, F.coalesce(extract(text, RADIUS, 1), extract(text, RADIUS, 2))).cast("double")
     return F.struct(
         F.coalesce(given, F.lit(DEFAULT_RADIUS_KM)).alias("radius_km"),
         given.isNotNull().alias("explicit"),
@@ -172,8 +189,8 @@ def month_of(text: Column) -> Column:
 
 def season_of(text: Column) -> Column:
     return (
-        F.when(word(text, r"pre[-\s]?monsoon"), "pre-monsoon")
-        .when(word(text, r"post[-\s]?monsoon"), "post-monsoon")
+        F.when(word(text, r"pre[-\s]?monsoon", "monsoon"), "pre-monsoon")
+        .when(word(text, r"post[-\s]?monsoon", "monsoon"), "post-monsoon")
         .when(word(text, "monsoon"), "monsoon")
         .when(word(text, "summer"), "summer")
         .when(word(text, "winter"), "winter")
@@ -207,22 +224,26 @@ def with_period(df: DataFrame, text: str, reference: Column) -> DataFrame:
     today = F.greatest(F.least(reference, F.lit(MAX_DATE).cast("date")), F.lit(MIN_DATE).cast("date"))
     columns = df.columns
     q = F.col("_dq")
-    df = df.withColumn("_dq", F.regexp_replace(F.regexp_replace(text, RADIUS, " "), DEPTH, " "))
+    if "_digits" not in columns:
+        df = df.withColumn("_digits", digits(F.col(text)))
+    numeric = F.col("_digits")
+    cleared = F.regexp_replace(F.regexp_replace(text, RADIUS, " "), DEPTH, " ")
+    df = df.withColumn("_dq", F.when(numeric, cleared).otherwise(F.col(text)))
     named = F.regexp_extract_all(q, F.lit(rf"{START}(?:19|20|21)\d{{2}}{END}"), F.lit(0))
     df = df.withColumns(
         {
-            "_outside": F.exists(named, lambda y: ~y.cast("int").between(MIN_YEAR, MAX_YEAR)),
+            "_outside": numeric & F.exists(named, lambda y: ~y.cast("int").between(MIN_YEAR, MAX_YEAR)),
             "_month": month_of(q),
             "_season": season_of(q),
-            "_first": F.coalesce(extract(q, YEARS, 1), extract(q, YEARS, 3)).cast("int"),
-            "_last": F.coalesce(extract(q, YEARS, 2), extract(q, YEARS, 4)).cast("int"),
-            "_single": extract(q, rf"{START}(20\d{{2}}){END}", 1).cast("int"),
-            "_count": extract(q, LAST_N, 1).cast("int"),
-            "_unit": extract(q, LAST_N, 2),
+            "_first": F.when(numeric, F.coalesce(extract(q, YEARS, 1), extract(q, YEARS, 3)).cast("int")),
+            "_last": F.when(numeric, F.coalesce(extract(q, YEARS, 2), extract(q, YEARS, 4)).cast("int")),
+            "_single": F.when(numeric, extract(q, rf"{START}(20\d{{2}}){END}", 1).cast("int")),
+            "_count": F.when(numeric, extract(q, LAST_N, 1).cast("int")),
+            "_unit": F.when(numeric, extract(q, LAST_N, 2)),
             "_relative": F.when(word(q, "recently"), "recently")
-            .when(word(q, r"this\s+year"), "this year")
-            .when(word(q, r"last\s+year"), "last year")
-            .when(word(q, "today|current|latest|now"), "latest"),
+            .when(word(q, r"this\s+year", "year"), "this year")
+            .when(word(q, r"last\s+year", "year"), "last year")
+            .when(word(q, "today|current|latest|now", "today", "current", "latest", "now"), "latest"),
         }
     )
     month, season, outside = F.col("_month"), F.col("_season"), F.col("_outside")

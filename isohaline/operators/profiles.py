@@ -72,7 +72,7 @@ def _finish(quick: DataFrame, keys) -> DataFrame:
     if "distance_km" in quick.columns:
         out = out.withColumn("nearest_km", F.when(F.col("valid_rows") > 0, F.col("distance_km")))
     out = out.withColumn("platform_number", F.when(F.col("valid_rows") > 0, F.col("platform_number")))
-    return out.drop("uniform", "time", "latitude", "longitude", "distance_km")
+    return out.drop("time", "latitude", "longitude", "distance_km")
 
 
 def _mixed_rows(rows: DataFrame, quick: DataFrame) -> DataFrame | None:
@@ -129,7 +129,7 @@ def profile_facts(judged: DataFrame, keys=KEYS) -> DataFrame:
     if "distance_km" in judged.columns:
         aggs.append(F.min(F.when(kept, F.col("distance_km"))).alias("nearest_km"))
     facts = judged.groupBy(*keys, "profile_id").agg(*aggs)
-    return facts.withColumn("platform_number", F.col("full_id.platform_number"))
+    return facts.withColumns({"platform_number": F.col("full_id.platform_number"), "uniform": F.lit(False)})
 
 
 def profile_set(facts: DataFrame, name: str, keys=KEYS) -> DataFrame:

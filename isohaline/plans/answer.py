@@ -167,7 +167,7 @@ def evidence_panel(prepared: Prepared, rows: DataFrame, thresholds: dict = THRES
         ).alias("aggregation_counts_per_bin")
     )
     order = F.struct((-F.col("profile_count")).alias("_o"), "platform_number", "latitude", "longitude", "profile_count")
-    positions = float_positions(prepared.judged).groupBy(*keys).agg(
+    positions = float_positions(prepared.judged, prepared.facts).groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(order)),
             lambda e: F.struct(

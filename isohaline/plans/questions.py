@@ -157,6 +157,7 @@ def tag_texts(df: DataFrame, text_col: str, reference_date: date) -> DataFrame:
     out = df.withColumn("_folded", tx.fold_case(F.coalesce(F.col(text_col), F.lit(""))))
     out = out.withColumn("query", tx.squeeze(F.col("_folded"))).drop("_folded")
     q = F.col("query")
+    out = out.withColumn("_digits", tx.digits(q))
     out = out.withColumns({"topic": tx.blocked_topic(q), "_radius": tx.radius_of(q), **tx.intent_flags(q)})
     out = out.withColumns({"parameters": tx.parameters_of(), "include_anomaly": tx.anomaly_intent()})
     return tx.with_period(out, "query", F.lit(reference_date))
@@ -165,7 +166,7 @@ def tag_texts(df: DataFrame, text_col: str, reference_date: date) -> DataFrame:
 def locate(tagged: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Coordinates first; point words put places before regions, otherwise regions come first."""
     q = F.col("query")
-    number = {i: tx.extract(q, tx.COORDINATES, i) for i in (1, 2, 3, 4)}
+    number = {i: F.when(tx.digits(q), tx.extract(q, tx.COORDINATES, i)) for i in (1, 2, 3, 4)}
     lat = F.col("_n1").cast("double") * F.when(F.col("_n2") == "s", -1.0).otherwise(1.0)
     lon = F.col("_n3").cast("double") * F.when(F.col("_n4") == "w", -1.0).otherwise(1.0)
     decimals = F.greatest(*[F.length(F.substring_index(F.concat(c, F.lit(".")), ".", 2)) - F.length(F.substring_index(c, ".", 1)) - 1 for c in (F.col("_n1"), F.col("_n3"))])
@@ -234,7 +235,7 @@ def annotate_questions(df: DataFrame, text_col: str, reference_date: date, fuzzy
             **{c: period[c] for c in ("date_from", "date_to", "month", "calendar_month", "season")},
             "rejection": rejection,
         }
-    ).drop("_radius", "_period", "_lat", "_lon", *flags)
+    ).drop("_radius", "_period", "_lat", "_lon", "_digits", *flags)
 
 
 SELECTION_COLUMNS = (

@@ -29,6 +29,15 @@ def local_session(cores: str = "8", partitions: int | None = None) -> SparkSessi
     )
 
 
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when its files give fewer tasks than there are cores.
+
+    For work that is heavy per row. A table of many files is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Mark ``df`` for broadcast when a bounded count proves that it is small.
 
