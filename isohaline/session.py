@@ -52,6 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a private one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a shared folder on a cluster")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
