@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
-from isohaline.llm.common import documents
+from pyspark.sql import functions as F
+
+from isohaline.llm import quality
+from isohaline.llm.common import documents, fold
 from isohaline.llm.mixing import mix
+from isohaline.llm.repetition import rate_repetition
+
+
+def op1_quality_classifier(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score_quality(docs, quality.fit(docs, quality.training_labels(labels)))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_repetition_rules(spark, sf_dir):
+    return rate_repetition(documents(spark, sf_dir)).drop("spans")
 
 
 def op8_mix_sources(spark, sf_dir):
@@ -46,5 +61,5 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(u.n, 0) * q.size
 FROM queued q LEFT JOIN used u ON u.k = q.k AND u.rnk = q.rnk AND u.size = q.size AND u.doc_id IS NOT DISTINCT FROM q.doc_id
 """
 
-QUERIES = {"op8_mix_sources": op8_mix_sources}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op3_repetition_rules": op3_repetition_rules, "op8_mix_sources": op8_mix_sources}
 ORACLES = {"op8_mix_sources": MIX_SQL}
