@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isohaline.llm import quality
+from isohaline.llm import quality, secrets
 from isohaline.llm.common import documents, fold
 from isohaline.llm.mixing import mix
 from isohaline.llm.repetition import rate_repetition
@@ -25,6 +25,14 @@ def op8_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_secret_scan(spark, sf_dir):
+    found = secrets.scan(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"),
+    )
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
@@ -61,5 +69,5 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(u.n, 0) * q.size
 FROM queued q LEFT JOIN used u ON u.k = q.k AND u.rnk = q.rnk AND u.size = q.size AND u.doc_id IS NOT DISTINCT FROM q.doc_id
 """
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op3_repetition_rules": op3_repetition_rules, "op8_mix_sources": op8_mix_sources}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op3_repetition_rules": op3_repetition_rules, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
 ORACLES = {"op8_mix_sources": MIX_SQL}
