@@ -83,7 +83,7 @@ def test_base_spans_against_brute_force(spark):
 
 def test_random_tokens_are_added_and_ordinary_ones_are_not(spark):
     secret = next(t for t in tokens(64) if len(t) == 40 or p_brute(t) > 0.5)
-    plain = ["An ordinary sentence with Donaudampfschifffahrtsgesellschaft in it.", "a" * 40 + "1", "Aa1" * 12, "AAAAAAAAAAbbbbbbbbbb0000000000", "x" * 25 + "Y2"]
+    plain = ["An ordinary sentence with Donaudampfschifffahrtsgesellschaft in it.", "k" * 40 + "1", "Aa1" * 12, "AAAAAAAAAAbbbbbbbbbb0000000000", "x" * 25 + "Y2"]
     docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate([secret, *plain, secret])] + [(None, None)], "doc_id long, text string")
     got = {r.doc_id: r.s for r in scan(docs).select("doc_id", joined(F.col("found")).alias("s")).collect()}
     assert got[0] == got[6] == f"random:4:{4 + len(secret)}"
