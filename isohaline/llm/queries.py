@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isohaline.llm import quality, secrets
+from isohaline.llm import language, quality, secrets
 from isohaline.llm.common import documents, fold
 from isohaline.llm.mixing import mix
 from isohaline.llm.repetition import rate_repetition
@@ -17,6 +17,12 @@ def op1_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = language.detect(docs, language.fit(language.training_rows(docs)))
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_repetition_rules(spark, sf_dir):
     return rate_repetition(documents(spark, sf_dir)).drop("spans")
 
@@ -69,5 +75,5 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(u.n, 0) * q.size
 FROM queued q LEFT JOIN used u ON u.k = q.k AND u.rnk = q.rnk AND u.size = q.size AND u.doc_id IS NOT DISTINCT FROM q.doc_id
 """
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op3_repetition_rules": op3_repetition_rules, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_language_id": op2_language_id, "op3_repetition_rules": op3_repetition_rules, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
 ORACLES = {"op8_mix_sources": MIX_SQL}
