@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from isohaline.llm import language, quality, secrets
 from isohaline.llm.common import documents, fold
+from isohaline.llm.linededup import dedup_lines
 from isohaline.llm.mixing import mix
 from isohaline.llm.repetition import rate_repetition
 
@@ -27,6 +28,11 @@ def op3_repetition_rules(spark, sf_dir):
     return rate_repetition(documents(spark, sf_dir)).drop("spans")
 
 
+def op7_line_dedup(spark, sf_dir):
+    cut = dedup_lines(documents(spark, sf_dir))
+    return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size("_gone").alias("n_removed"), F.col("_gone").alias("removed_lines"), "text")
+
+
 def op8_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -75,5 +81,5 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(u.n, 0) * q.size
 FROM queued q LEFT JOIN used u ON u.k = q.k AND u.rnk = q.rnk AND u.size = q.size AND u.doc_id IS NOT DISTINCT FROM q.doc_id
 """
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_language_id": op2_language_id, "op3_repetition_rules": op3_repetition_rules, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_language_id": op2_language_id, "op3_repetition_rules": op3_repetition_rules, "op7_line_dedup": op7_line_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
 ORACLES = {"op8_mix_sources": MIX_SQL}
