@@ -8,6 +8,7 @@ from isohaline.llm import language, quality, secrets
 from isohaline.llm.common import documents, fold
 from isohaline.llm.linededup import dedup_lines
 from isohaline.llm.mixing import mix
+from isohaline.llm.neardup import near_duplicates
 from isohaline.llm.repetition import rate_repetition
 
 
@@ -28,6 +29,10 @@ def op3_repetition_rules(spark, sf_dir):
     return rate_repetition(documents(spark, sf_dir)).drop("spans")
 
 
+def op4_near_dedup(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir), k=2)
+
+
 def op7_line_dedup(spark, sf_dir):
     cut = dedup_lines(documents(spark, sf_dir))
     return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size("_gone").alias("n_removed"), F.col("_gone").alias("removed_lines"), "text")
@@ -81,5 +86,28 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(u.n, 0) * q.size
 FROM queued q LEFT JOIN used u ON u.k = q.k AND u.rnk = q.rnk AND u.size = q.size AND u.doc_id IS NOT DISTINCT FROM q.doc_id
 """
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_language_id": op2_language_id, "op3_repetition_rules": op3_repetition_rules, "op7_line_dedup": op7_line_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
-ORACLES = {"op8_mix_sources": MIX_SQL}
+NEAR_SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\\x20\\x09-\\x0D]+'), []) AS ws
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+    ELSE list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1]) END) AS s
+  FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v
+  WHERE 100 * common >= 80 * (x.n + y.n - common)),
+edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT u AS node, u AS seen FROM edges UNION SELECT r.node, e.v FROM reach r JOIN edges e ON e.u = r.seen)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles,
+       least(w.doc_id, coalesce(m.root, w.doc_id)) AS component_id, w.doc_id <= coalesce(m.root, w.doc_id) AS kept
+FROM worded w LEFT JOIN sizes s USING (doc_id)
+LEFT JOIN (SELECT node, min(seen) AS root FROM reach GROUP BY node) m ON m.node = w.doc_id
+"""
+
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_language_id": op2_language_id, "op3_repetition_rules": op3_repetition_rules, "op4_near_dedup": op4_near_dedup, "op7_line_dedup": op7_line_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
+ORACLES = {"op4_near_dedup": NEAR_SQL, "op8_mix_sources": MIX_SQL}
