@@ -132,10 +132,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large.filter("u <> v"), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = written(small.filter("u <> v").distinct(), "small")
@@ -187,6 +187,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     banded = groups.select("rep", "digest", F.col("x.sig").alias("sig"), F.explode("x.bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    hubs = written(hubs, "hubs")  # written minima leave the joins with an exchange of their own, whose hot partitions split
     buckets = written(banded.join(hubs.select("key", "hub"), "key"), "buckets")
     wanted = buckets.select("rep", "digest").distinct()
     texts = _texts_of(docs, wanted, k)
@@ -204,6 +205,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = written(b.join(c, F.col("b.rep") == F.col("c.node"), "left").select("key", "rep", "sig", F.coalesce("root", "rep").alias("root")), "placed")
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("m.root").alias("main"))
+    main = written(main, "main")
     open_ = written(placed.join(main, "key"), "open")
     x, y = open_.filter("root <> main").alias("x"), open_.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (similarity(F.col("x.sig"), F.col("y.sig")) >= least)
