@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from isohaline.llm import language, quality, secrets
 from isohaline.llm.common import documents, fold
 from isohaline.llm.fingerprint import fingerprints
+from isohaline.llm.licenses import find_licenses
 from isohaline.llm.linededup import dedup_lines
 from isohaline.llm.mixing import mix
 from isohaline.llm.neardup import near_duplicates
@@ -34,6 +35,10 @@ def op4_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir), k=2)
 
 
+def op5_license_scan(spark, sf_dir):
+    return find_licenses(documents(spark, sf_dir))
+
+
 def op6_fingerprints(spark, sf_dir):
     return fingerprints(documents(spark, sf_dir))
 
@@ -114,5 +119,5 @@ FROM worded w LEFT JOIN sizes s USING (doc_id)
 LEFT JOIN (SELECT node, min(seen) AS root FROM reach GROUP BY node) m ON m.node = w.doc_id
 """
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_language_id": op2_language_id, "op3_repetition_rules": op3_repetition_rules, "op4_near_dedup": op4_near_dedup, "op6_fingerprints": op6_fingerprints, "op7_line_dedup": op7_line_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_language_id": op2_language_id, "op3_repetition_rules": op3_repetition_rules, "op4_near_dedup": op4_near_dedup, "op5_license_scan": op5_license_scan, "op6_fingerprints": op6_fingerprints, "op7_line_dedup": op7_line_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
 ORACLES = {"op4_near_dedup": NEAR_SQL, "op8_mix_sources": MIX_SQL}
