@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isohaline.llm import language, quality, secrets
+from isohaline.llm import language, pieces, quality, secrets
 from isohaline.llm.common import documents, fold
 from isohaline.llm.fingerprint import fingerprints
 from isohaline.llm.licenses import find_licenses
@@ -60,6 +60,10 @@ def op9_secret_scan(spark, sf_dir):
     )
 
 
+def op10_sentencepiece(spark, sf_dir):
+    return pieces.encode(documents(spark, sf_dir))
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
@@ -119,5 +123,5 @@ FROM worded w LEFT JOIN sizes s USING (doc_id)
 LEFT JOIN (SELECT node, min(seen) AS root FROM reach GROUP BY node) m ON m.node = w.doc_id
 """
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_language_id": op2_language_id, "op3_repetition_rules": op3_repetition_rules, "op4_near_dedup": op4_near_dedup, "op5_license_scan": op5_license_scan, "op6_fingerprints": op6_fingerprints, "op7_line_dedup": op7_line_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_language_id": op2_language_id, "op3_repetition_rules": op3_repetition_rules, "op4_near_dedup": op4_near_dedup, "op5_license_scan": op5_license_scan, "op6_fingerprints": op6_fingerprints, "op7_line_dedup": op7_line_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan, "op10_sentencepiece": op10_sentencepiece}
 ORACLES = {"op4_near_dedup": NEAR_SQL, "op8_mix_sources": MIX_SQL}
