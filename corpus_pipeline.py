@@ -1,4 +1,9 @@
-"""From raw documents to training pieces, in stages that are each written as Parquet and read by the next."""
+"""From raw documents to training pieces, in stages that are each written as Parquet and read by the next.
+
+Every stage takes (spark, docs, sf_dir), works on all rows it is given and returns the columns of ``documents``, but for
+the last, which returns the encoded documents. The classifier and the tokenizer cannot be stated in SQL, so there is no
+checking SQL; the tests hold every stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +12,59 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isohaline.llm import pieces, quality
+from isohaline.llm.common import word_count
+from isohaline.llm.linededup import dedup_lines
 from isohaline.llm.mixing import mix
+from isohaline.llm.neardup import near_duplicates
 from isohaline.session import checkpoint_dir
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def good_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    score = quality.scorer(quality.fit(docs, quality.training_labels(labels)))
+    return docs.filter(score("text") >= quality.THRESHOLD)
+
+
+def distinct_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs are cut out; a document goes if no word of it is left."""
+    cut = dedup_lines(docs)
+    kept = cut.filter((F.size("_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.withColumn("n_chars", F.when(F.size("_gone") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def distinct_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the smallest id."""
+    copies = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: none to three rows each."""
+    used = mix(docs).select("doc_id", "source", "size", "copies").distinct().filter("copies > 0").alias("m")
+    d = docs.withColumn("_size", word_count(F.col("text"))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d._size") == F.col("m.size"))
+    rows = d.join(used, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m.copies"))))
+    return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns])
+
+
+def encoded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, pieces, round_trip."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("lines", distinct_lines),
+    ("near_duplicates", distinct_documents),
+    ("mix", mixed),
+    ("pieces", encoded),
+]
+
+
 def run(spark, sf_dir: str) -> DataFrame:
     """All stages, applied to the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

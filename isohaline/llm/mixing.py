@@ -96,8 +96,8 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
 
     ``copies`` (0 to 3) is how often the mix uses the document, ``taken`` = copies * size. The order of a queue follows
-    the MD5 of seed and doc_id, so reruns agree. Null text has size 0; documents without words are never needed to reach
-    a target and get as many copies as lie before the cut. A null doc_id is hashed as the text ``null``. Rows equal in
+    the MD5 of seed and doc_id, so reruns agree. Null text has size 0; documents without words are not needed to reach a
+    target and get no copies. A null doc_id is hashed as the text ``null``. Rows equal in
     doc_id, source and size share one place in the order and are taken together. An empty table gives no rows.
     """
     sized = docs.select(
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     else:
         end = F.struct(*[F.lit(cut[c]).cast(t) for c, t in (("_finish", "double"), ("_rank", "int"), ("_epoch", "int"), ("_key", "string"), ("doc_id", docs.schema["doc_id"].dataType), ("_size", "long"))])
         used = sum(((place(e) < end).cast("int") for e in range(EPOCHS)), F.lit(0))
-    used = F.when(F.col("target") > 0, used).otherwise(0)
+    used = F.when((F.col("target") > 0) & (F.col("_size") > 0), used).otherwise(0)
     return queued.select(
         "doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target",
         used.alias("copies"), (used * F.col("_size")).alias("taken"),

@@ -168,6 +168,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     return Model(mean, scale, w, b, beta, knots, levels)
 
 
+def scorer(model: Model):
+    """The score as a column function of text, for filters that keep all columns of a table."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in texts]).reshape(len(texts), WIDTH)))
+
+    return score
+
+
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted for every row. Null and empty texts are scored like any text, from zero counts."""
 
