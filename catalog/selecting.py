@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.fixture import OBS, SEL, observations, selections, table
-from catalog.sqlparts import BATCH, DIST, LONG, ROWS, WHEN, box, dist, facts, with_
+from catalog.sqlparts import BATCH, BATCH_FACTS, BIN, DIST, LONG, ROWS, WHEN, box, dist, facts, with_
 from isohaline.operators import ingest, lineage, profiles, quality, selection
 from isohaline.operators.climatology import tag_regions
 from isohaline.operators.quality import judged_both
+from isohaline.vocabulary import TRACE_LIMIT
 
 
 def r6(name: str, alias: str | None = None):
@@ -136,14 +137,15 @@ def selection_violations(spark, sf_dir):
     """Broken rules of records made from the events table, which breaks every rule somewhere."""
     e = F.col("event_id")
     records = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("E"), e.cast("string")).alias("selection_id"),
+        F.concat(F.lit("E"), (e - F.when(e % 29 == 1, 1).otherwise(0)).cast("string")).alias("selection_id"),
+        (e % 9 - 2).cast("int").alias("coordinate_precision"),
         F.when(e % 11 != 0, (e % 200 - 95).cast("double")).alias("latitude"),
         F.when((e % 11 != 0) & (e % 13 != 0), (e % 400 - 190).cast("double")).alias("longitude"),
         F.when(e % 6 == 0, "arabian-sea").alias("region_id"),
         F.when(e % 4 == 0, 8.0).alias("south"),
         F.when(e % 4 == 0, F.when(e % 8 == 0, 5.0).otherwise(25.0)).alias("north"),
         F.when(e % 4 == 0, 55.0).alias("west"),
-        F.when(e % 4 == 0, 75.0).alias("east"),
+        F.when(e % 4 == 0, F.when(e % 12 == 0, 185.0).otherwise(75.0)).alias("east"),
         (F.col("value") * 30.0).alias("radius_km"),
         F.when(e % 17 != 0, F.to_date(F.lit("2010-01-01"))).alias("date_from"),
         F.when(e % 5 == 0, F.to_date(F.lit("2009-01-01"))).otherwise(F.to_date(F.lit("2012-01-01"))).alias("date_to"),
@@ -162,9 +164,26 @@ def float_positions(spark, sf_dir):
     return out.select("selection_id", "parameter", "platform_number", r6("latitude"), r6("longitude"), "profile_count")
 
 
+def _traced(spark, sf_dir):
+    return lineage.traced_rows(judged(spark, sf_dir), batch_facts(spark, sf_dir), selections(spark, sf_dir))
+
+
+def trace_rows(spark, sf_dir):
+    """Every source row behind every asked view, with its bin and month."""
+    return _traced(spark, sf_dir)
+
+
+def trace_bins(spark, sf_dir):
+    return lineage.trace_counts(_traced(spark, sf_dir), "bin_no")
+
+
+def trace_months(spark, sf_dir):
+    return lineage.trace_counts(_traced(spark, sf_dir), "month")
+
+
 def trace(spark, sf_dir):
-    rows = judged(spark, sf_dir)
-    out = lineage.trace(rows, batch_facts(spark, sf_dir))
+    """The sample that an evidence panel shows: first 25 of each list."""
+    out = lineage.trace_sample(_traced(spark, sf_dir), TRACE_LIMIT)
     lists = {c: F.concat_ws(",", c) for c in ("profile_ids", "float_ids", "source_records")}
     return out.withColumns(lists)
 
@@ -195,6 +214,9 @@ QUERIES = {
     "selection_violations": selection_violations,
     "float_positions": float_positions,
     "trace": trace,
+    "trace_rows": trace_rows,
+    "trace_bins": trace_bins,
+    "trace_months": trace_months,
     "light_trace": light_trace,
 }
 
@@ -234,6 +256,9 @@ _VIOLATIONS = [
     ("region_without_bounds", "e % 6 = 0 AND e % 4 <> 0"),
     ("point_with_bounds", "e % 6 <> 0 AND e % 4 = 0"),
     ("bounds_inverted", "e % 8 = 0"),
+    ("bounds_out_of_range", "e % 12 = 0"),
+    ("precision_out_of_range", "e % 9 - 2 < 0 OR e % 9 - 2 > 4"),
+    ("duplicate_id", "e % 29 = 1 AND e - 1 IN (SELECT event_id FROM events) OR e % 29 = 0 AND e + 1 IN (SELECT event_id FROM events)"),
     ("radius_out_of_range", "value * 30.0 < 1 OR value * 30.0 > 2000"),
     ("dates_inverted", "e % 17 <> 0 AND e % 5 = 0"),
     ("dates_missing", "e % 17 = 0"),
@@ -246,6 +271,20 @@ _VIOLATIONS = [
 ]
 
 
+# Which rows stand behind a view: 0-100 dbar for a regional average, all kept rows otherwise, unless the view has no value.
+TRACED = (
+    "traced AS (SELECT j.selection_id, j.parameter, s.query_type AS view, j.profile_id, j.platform_number, "
+    "CASE WHEN (s.query_type = 'regional_average' AND f.upper_100_value IS NOT NULL) OR (s.query_type = 'time_series' AND "
+    "CASE WHEN j.parameter = 'shallow_sst_proxy' THEN f.shallow_value ELSE f.full_value END IS NOT NULL) THEN strftime(j.time, '%Y-%m') END AS month, "
+    f"CASE WHEN s.query_type = 'profile' AND j.pres BETWEEN 0 AND 500 THEN CAST({BIN} AS INT) END AS bin_no, j._source_file, j.source_row "
+    "FROM judged j JOIN sel s ON s.selection_id = j.selection_id "
+    "JOIN facts f ON f.selection_id = j.selection_id AND f.parameter = j.parameter AND f.profile_id = j.profile_id "
+    "JOIN (SELECT selection_id, parameter, sum(rows_0_500) AS u, count(shallow_value) AS sh FROM facts GROUP BY ALL) g "
+    "ON g.selection_id = j.selection_id AND g.parameter = j.parameter WHERE j.reason IS NULL AND CASE s.query_type "
+    "WHEN 'regional_average' THEN j.pres BETWEEN 0 AND 100 WHEN 'profile' THEN g.u > 0 ELSE j.parameter <> 'shallow_sst_proxy' OR g.sh > 0 END)"
+)
+
+
 def _firsts(name: str, source: str, order: str, shown: str) -> str:
     return (
         f"{name} AS (SELECT selection_id, parameter, string_agg(shown, ',' ORDER BY rk) FILTER (rk <= 25) AS {name}, max(rk) > 25 AS more "
@@ -314,17 +353,25 @@ ORACLES = {
     + "SELECT selection_id, parameter, round(min(distance_km) FILTER (reason IS NULL), 6) AS nearest_observation_km FROM judged GROUP BY ALL",
     "selection_violations": "WITH ev AS (SELECT event_id AS e, value, CASE WHEN event_id % 11 <> 0 THEN event_id % 200 - 95 END AS lat, "
     "CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN event_id % 400 - 190 END AS lon FROM events) "
-    "SELECT 'E' || e AS selection_id, concat_ws(',', "
+    "SELECT 'E' || (e - CASE WHEN e % 29 = 1 THEN 1 ELSE 0 END) AS selection_id, concat_ws(',', "
     + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _VIOLATIONS)
     + ") AS violations FROM ev",
     "float_positions": with_(BATCH)
     + "SELECT selection_id, parameter, platform_number, round(lat, 6) AS latitude, round(lon, 6) AS longitude, profile_count FROM "
     "(SELECT *, row_number() OVER (PARTITION BY selection_id, parameter ORDER BY profile_count DESC, platform_number) AS rk FROM "
     "(SELECT selection_id, parameter, platform_number, median(latitude) AS lat, median(longitude) AS lon, "
-    "count(DISTINCT profile_id) AS profile_count FROM judged WHERE reason IS NULL GROUP BY ALL)) WHERE rk <= 50",
+    "count(DISTINCT profile_id) AS profile_count FROM judged WHERE reason IS NULL GROUP BY ALL))",
+    "trace_rows": with_(BATCH_FACTS, TRACED) + "SELECT * FROM traced",
+    "trace_bins": with_(BATCH_FACTS, TRACED)
+    + "SELECT selection_id, parameter, bin_no, count(*) AS observation_count, count(DISTINCT profile_id) AS profile_count, "
+    "count(DISTINCT platform_number) AS float_count FROM traced WHERE bin_no IS NOT NULL GROUP BY ALL",
+    "trace_months": with_(BATCH_FACTS, TRACED)
+    + "SELECT selection_id, parameter, month, count(*) AS observation_count, count(DISTINCT profile_id) AS profile_count, "
+    "count(DISTINCT platform_number) AS float_count FROM traced WHERE month IS NOT NULL GROUP BY ALL",
     "trace": with_(
-        BATCH,
-        "k AS (SELECT * FROM judged WHERE reason IS NULL)",
+        BATCH_FACTS,
+        TRACED,
+        "k AS (SELECT * FROM traced)",
         _firsts("profile_ids", "k", "profile_id", "profile_id"),
         _firsts("float_ids", "k", "platform_number", "platform_number"),
         _firsts("source_records", "k", "_source_file, source_row", "_source_file || ':' || source_row"),

@@ -49,7 +49,7 @@ def contributing_rows(spark, sf_dir):
 
 def merge_series(spark, sf_dir):
     out = views.merge_parameter_series(views.monthly_means(batch_facts(spark, sf_dir)))
-    return out.select("selection_id", "month", r6("temperature"), r6("salinity"))
+    return out.select("selection_id", "month", r6("temperature"), r6("salinity"), r6("shallow_sst_proxy"))
 
 
 def bin_by_table(spark, sf_dir):
@@ -127,8 +127,9 @@ def year_over_year(spark, sf_dir):
 
 def year_pivot(spark, sf_dir):
     yoy = supplementary.year_over_year(_global_facts(spark, sf_dir), ("parameter",))
-    out = supplementary.year_pivot(yoy, list(range(1995, 2002)), ("parameter",))
-    return out.select("parameter", "calendar_month", *[F.round(str(y), 6).alias(f"y{y}") for y in range(1995, 2002)])
+    out = supplementary.year_pivot(yoy, ("parameter",))
+    years = [c for c in out.columns if c.isdigit()]
+    return out.select("parameter", "calendar_month", *[F.round(y, 6).alias(f"y{y}") for y in years])
 
 
 QUERIES = {
@@ -220,7 +221,8 @@ ORACLES = {
     + "SELECT selection_id, parameter, strftime(time, '%Y-%m') AS month, count(*) AS n_rows, CAST(sum(source_row) AS BIGINT) AS sum_row FROM judged "
     "WHERE reason IS NULL AND pres BETWEEN 0 AND 100 GROUP BY ALL",
     "merge_series": with_(BATCH_FACTS, _SERIES)
-    + "SELECT selection_id, month, round(avg(v) FILTER (parameter <> 'salinity'), 6) AS temperature, round(avg(v) FILTER (parameter = 'salinity'), 6) AS salinity "
+    + "SELECT selection_id, month, round(avg(v) FILTER (parameter = 'temperature'), 6) AS temperature, round(avg(v) FILTER (parameter = 'salinity'), 6) AS salinity, "
+    "round(avg(v) FILTER (parameter = 'shallow_sst_proxy'), 6) AS shallow_sst_proxy "
     "FROM pv WHERE v IS NOT NULL GROUP BY selection_id, month",
     "bin_by_table": with_(LONG)
     + f"SELECT parameter, CASE WHEN parameter = 'salinity' THEN 'PSU' ELSE '°C' END AS unit, {LABEL} AS depth_bin, CAST({MID} AS DOUBLE) AS depth_mid, n_rows FROM "
@@ -230,7 +232,7 @@ ORACLES = {
     + "SELECT selection_id, parameter, profile_id, source_row, pres, round(t, 6) AS temp_adjusted, round(s, 6) AS psal_adjusted, profile_count, float_count, pair_count FROM "
     "(SELECT *, row_number() OVER (PARTITION BY selection_id, parameter ORDER BY md5(profile_id || '|' || CAST(source_row AS VARCHAR)), profile_id, source_row) AS rk FROM pairs) "
     "JOIN (SELECT selection_id, parameter, count(DISTINCT profile_id) AS profile_count, count(DISTINCT platform_number) AS float_count, count(*) AS pair_count "
-    "FROM pairs GROUP BY ALL) USING (selection_id, parameter) WHERE rk <= 500",
+    "FROM pairs GROUP BY ALL) USING (selection_id, parameter)",
     "density_profile": with_(BATCH, "k AS (SELECT * FROM judged WHERE reason IS NULL)", _PAIRS.format(src="k"))
     + f"SELECT selection_id, parameter, {LABEL} AS depth_bin, CAST({MID} AS DOUBLE) AS depth_mid, density, n_values FROM (SELECT selection_id, parameter, {BIN} AS bin_no, "
     f"round(median({_RHO}), 6) AS density, count(*) AS n_values FROM pairs GROUP BY ALL) WHERE bin_no IS NOT NULL",

@@ -23,6 +23,9 @@ WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u
 )
 
 
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+
+
 # -- lenient typing ------------------------------------------------------------------------------
 def clean_text(c: Column) -> Column:
     """Trim every kind of white space (``trim`` alone removes blanks only)."""
@@ -30,13 +33,17 @@ def clean_text(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Double or NULL; never an error, and NaN counts as missing."""
+    """Double or NULL; never an error, and NaN counts as missing.
+
+    Only decimal notation is a number: the cast alone would also take Java suffixes and hexadecimal floats.
+    """
     number = c.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.when(~F.isnan(number) & c.cast("string").rlike(NUMBER), number)
 
 
 def to_utc(c: Column) -> Column:
-    return c.try_cast("timestamp")
+    """Timestamp or NULL. A time of day alone is no time: the cast would date it to the day of the run."""
+    return F.when(c.cast("string").rlike(r"^\s*\d{4}"), c.try_cast("timestamp"))
 
 
 # -- calendar ------------------------------------------------------------------------------------

@@ -7,7 +7,10 @@ size, and it never pairs a selection with an observation outside its cells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohaline.functions.geo import cell_index, half_height, half_width, haversine_km, in_box, in_envelope
@@ -78,7 +81,10 @@ def with_region_bounds(selections: DataFrame) -> DataFrame:
 
 
 def selection_violations(selections: DataFrame) -> DataFrame:
-    """``violations``: names of the broken rules of each selection; an empty array means valid."""
+    """``violations``: names of the broken rules of each selection; an empty array means valid.
+
+    Every row of an id that occurs more than once is rejected, since all results are keyed by the id.
+    """
     lat, lon, region = F.col("latitude"), F.col("longitude"), F.col("region_id")
     bounds = [F.col(c) for c in ("south", "north", "west", "east")]
     has_bounds = bounds[0].isNotNull()
@@ -86,6 +92,8 @@ def selection_violations(selections: DataFrame) -> DataFrame:
         has_bounds = has_bounds & b.isNotNull()
     any_bounds = F.coalesce(*bounds).isNotNull()
     radius = F.coalesce(F.col("radius_km"), F.lit(DEFAULT_RADIUS_KM))
+    within = [~F.col(c).between(-limit, limit) for c, limit in (("south", 90), ("north", 90), ("west", 180), ("east", 180))]
+    outside = reduce(or_, [F.coalesce(w, F.lit(False)) for w in within])
     rules = {
         "coordinates_incomplete": lat.isNull() != lon.isNull(),
         "coordinates_missing": lat.isNull() & lon.isNull(),
@@ -93,6 +101,9 @@ def selection_violations(selections: DataFrame) -> DataFrame:
         "region_without_bounds": region.isNotNull() & ~has_bounds,
         "point_with_bounds": region.isNull() & any_bounds,
         "bounds_inverted": (F.col("south") >= F.col("north")) | (F.col("west") >= F.col("east")),
+        "bounds_out_of_range": outside,
+        "precision_out_of_range": ~F.col("coordinate_precision").between(0, 4),
+        "duplicate_id": F.count("*").over(Window.partitionBy("selection_id")) > 1,
         "radius_out_of_range": ~radius.between(MIN_RADIUS_KM, MAX_RADIUS_KM),
         "dates_inverted": F.col("date_from") > F.col("date_to"),
         "dates_missing": F.col("date_from").isNull() | F.col("date_to").isNull(),

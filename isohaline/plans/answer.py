@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from isohaline.functions.measures import climatology_parameter, unit_of
 from isohaline.operators.anomaly import baseline_month, lookup_climatology, score
 from isohaline.operators.evidence import evidence_checks, evidence_grade, quality_warning, score_allowed
-from isohaline.operators.lineage import float_positions, trace
+from isohaline.operators.lineage import float_positions, trace_sample, traced_rows
 from isohaline.operators.profiles import selected_facts
 from isohaline.operators.quality import KEYS, by_parameter, quality_audit
 from isohaline.operators.selection import (
@@ -31,8 +31,9 @@ from isohaline.operators.supplementary import (
     year_over_year,
 )
 from isohaline.operators.views import both_monthly_means, depth_profile, representative_values
+from isohaline.plans.report import SHALLOW_CAVEAT
 from isohaline.session import written
-from isohaline.vocabulary import THRESHOLDS
+from isohaline.vocabulary import FLOAT_POSITION_LIMIT, THRESHOLDS, TRACE_LIMIT
 
 
 @dataclass
@@ -158,16 +159,20 @@ def supplementary_views(prepared: Prepared, climatology: DataFrame) -> dict[str,
 
 
 def evidence_panel(prepared: Prepared, rows: DataFrame, thresholds: dict = THRESHOLDS) -> DataFrame:
-    """Nested panel per selection and parameter. Every array in it has a fixed small bound."""
+    """Nested panel per selection and parameter, a report whose arrays have a fixed small bound.
+
+    The lists of the trace are samples and say so; the whole trace is ``traced_rows``, all positions ``float_positions``.
+    """
     keys = list(KEYS)
-    bins = depth_profile(prepared.facts).groupBy(*keys).agg(
+    profiles = prepared.selections.where(F.col("query_type") == "profile").select("selection_id")
+    bins = depth_profile(prepared.facts).join(profiles, "selection_id", "left_semi").groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("bin_no", "depth_bin", "profile_count"))),
             lambda e: F.struct(e["depth_bin"].alias("depth_bin"), e["profile_count"].alias("profile_count")),
         ).alias("aggregation_counts_per_bin")
     )
     order = F.struct((-F.col("profile_count")).alias("_o"), "platform_number", "latitude", "longitude", "profile_count")
-    positions = float_positions(prepared.judged, prepared.facts).groupBy(*keys).agg(
+    positions = float_positions(prepared.judged, prepared.facts, limit=FLOAT_POSITION_LIMIT).groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(order)),
             lambda e: F.struct(
@@ -176,7 +181,8 @@ def evidence_panel(prepared: Prepared, rows: DataFrame, thresholds: dict = THRES
             ),
         ).alias("float_positions")
     )
-    sources = trace(prepared.judged, prepared.facts).select(
+    rows_behind = traced_rows(prepared.judged, prepared.facts, prepared.selections)
+    sources = trace_sample(rows_behind, TRACE_LIMIT).select(
         *keys, "profile_ids", "float_ids", "source_records", F.col("truncated").alias("trace_sample_truncated")
     )
     checked = rows.where(F.col("status") == "ok").withColumn("evidence_checks", evidence_checks(thresholds))
@@ -187,7 +193,8 @@ def evidence_panel(prepared: Prepared, rows: DataFrame, thresholds: dict = THRES
         F.col("excluded_count").alias("excluded_observation_count"), "distinct_float_count", "qc_pass_rate",
         "exclusion_reasons", "baseline_grid_cell", "baseline_selection_id",
         F.col("baseline_month").alias("baseline_month_used"), "baseline_distinct_float_count",
-        "evidence_checks", "aggregation_counts_per_bin", "float_positions",
+        "evidence_checks", F.transform("aggregation_counts_per_bin", lambda b: b["depth_bin"]).alias("depth_bins_used"),
+        F.when(F.col("parameter") == "shallow_sst_proxy", SHALLOW_CAVEAT).alias("proxy_caveat"), "aggregation_counts_per_bin", "float_positions",
         F.col("profile_ids").alias("contributing_profile_ids"), F.col("float_ids").alias("contributing_float_ids"),
         F.col("source_records").alias("source_record_sample"), "trace_sample_truncated",
     )

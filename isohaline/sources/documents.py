@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isohaline.functions.measures import profile_key
-from isohaline.vocabulary import ACCEPTED_MODES, CONTRACT_COLUMNS, DOCUMENT_LIMIT
+from isohaline.vocabulary import ACCEPTED_MODES, CONTRACT_COLUMNS
 
 # ``data`` is column-major; ``data_info`` holds keys, labels and [unit, mode] pairs, so its three parts
 # differ in shape and are read as JSON text first.
@@ -21,8 +21,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "body")
 
 
-def cap_documents(df: DataFrame, order: str = "body", limit: int = DOCUMENT_LIMIT) -> DataFrame:
-    """At most ``limit`` documents per selection, in a declared order (trimmed before the shuffle too)."""
+def cap_documents(df: DataFrame, limit: int, order: str = "body") -> DataFrame:
+    """A preview: at most ``limit`` documents per selection, in a declared order. Loading never goes through it."""
     rank = F.row_number().over(Window.partitionBy("selection_id").orderBy(order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 

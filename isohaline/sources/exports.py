@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isohaline.schema import RAW_EXPORT, ContractError
+from isohaline.session import broadcast_if_small, written
 from isohaline.vocabulary import EXPORT_COLUMNS
 
 # ---- Fixed values: words that count as a missing value in an export -------------------------------
@@ -16,17 +17,19 @@ MISSING_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
 def read_exports(spark: SparkSession, glob: str) -> DataFrame:
     """All matching exports as text, without units rows, with file name and physical row number.
 
-    Files are split freely; rows are numbered per file in two steps (rows per split, then offsets of the
-    splits), so no task ever sees a whole file.
+    Files are split freely and no row is shuffled: ids are consecutive within a split, so a row's place is its id
+    less the first id of the split, plus the rows of the splits before it. Files are told apart by their whole path.
     """
     raw = (
         spark.read.schema(RAW_EXPORT)
         .option("header", True)
         .option("mode", "PERMISSIVE")
+        .option("escape", '"')
         .csv(glob)
         .withColumns(
             {
                 "_source_file": F.col("_metadata.file_name"),
+                "_path": F.col("_metadata.file_path"),
                 "_block": F.col("_metadata.file_block_start"),
                 "_pos": F.monotonically_increasing_id(),
             }
@@ -39,14 +42,13 @@ def read_exports(spark: SparkSession, glob: str) -> DataFrame:
 
 def with_row_numbers(lines: DataFrame) -> DataFrame:
     """``source_row``: 1-based physical row; the header is row 1 and not part of ``lines``."""
-    sizes = lines.groupBy("_source_file", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_source_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_source_file", "_block").orderBy("_pos")
+    sizes = lines.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets, _ = broadcast_if_small(written(offsets, "splits"))
     return (
-        lines.withColumn("_rn", F.row_number().over(within))
-        .join(offsets, ["_source_file", "_block"])
-        .withColumn("source_row", (F.col("_offset") + F.col("_rn") + 1).cast("bigint"))
+        lines.join(offsets, ["_path", "_block"])
+        .withColumn("source_row", (F.col("_offset") + F.col("_pos") - F.col("_first") + 2).cast("bigint"))
         .select(*EXPORT_COLUMNS, "_source_file", "source_row")
     )
 
@@ -110,13 +112,19 @@ def source_audit(spark: SparkSession, glob: str, rows: DataFrame) -> DataFrame:
     )
 
 
+def quoted(text: Column) -> Column:
+    """A field as the readers expect it: quoted where it holds a comma, a quote or a line break."""
+    inside = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[",\r\n]'), inside).otherwise(text)
+
+
 def write_exports(obs: DataFrame, path: str) -> None:
     """Write observation rows as export files (header, units row, sixteen columns).
 
     The first row of every task carries the two head lines of its file, so nothing is gathered.
     """
     head = "\n".join([",".join(EXPORT_COLUMNS), ",".join("UTC" if c == "time" else "1" for c in EXPORT_COLUMNS), ""])
-    text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EXPORT_COLUMNS])
+    text = F.concat_ws(",", *[quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in EXPORT_COLUMNS])
     row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     line = F.when(row_in_task == 0, F.concat(F.lit(head), text)).otherwise(text)
     obs.select(line.alias("value")).write.text(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from helpers import by, obs_frame, obs_row, selection, selections
 from isohaline.functions import geo, measures
 from isohaline.operators import ingest, medians, profiles, quality
-from isohaline.operators.selection import recurring_select, select_observations
+from isohaline.operators.selection import recurring_select, select_observations, selection_violations
 from isohaline.schema import ContractError, check_observations
 
 
@@ -69,6 +69,28 @@ def test_last_day_of_the_period_counts_and_box_clips_the_circle(spark):
         assert r.distance_km <= 300
 
 
+def test_only_decimal_text_is_a_number(spark):
+    texts = ["12", " -1.5e3 ", ".5", "7.", "12d", "3f", "0x1p3", "nan", "inf", "", "1,5"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(measures.to_number(F.col("t"))).collect()]
+    assert got == [12.0, -1500.0, 0.5, 7.0, None, None, None, None, float("inf"), None, None]
+
+
+def test_a_time_needs_a_date(spark):
+    df = spark.createDataFrame([("12:30:00",), ("T10:00",), ("2024-07-10T01:02:03Z",), (" 2024-07-10",)], "t string")
+    got = [r[0] for r in df.select(measures.to_utc(F.col("t"))).collect()]
+    assert got[:2] == [None, None] and [str(x) for x in got[2:]] == ["2024-07-10 01:02:03", "2024-07-10 00:00:00"]
+
+
+def test_selection_rules_for_bounds_precision_and_repeated_ids(spark):
+    good = selection("a")
+    far = selection("b", region="r", bounds=(8.0, 95.0, 55.0, 185.0))
+    rows = selections(spark, good, far, selection("c"), selection("c"), selection("d"))
+    rows = rows.withColumn("coordinate_precision", F.when(F.col("selection_id") == "d", 7).otherwise(F.col("coordinate_precision")))
+    got = {r.selection_id: r.violations for r in selection_violations(rows).collect()}
+    assert got == {"a": [], "b": ["bounds_out_of_range"], "c": ["duplicate_id"], "d": ["precision_out_of_range"]}
+
+
 def test_broadcast_and_shuffled_joins_agree(spark):
     rng = random.Random(1)
     rows = [obs_row(cycle=str(i), lat=rng.uniform(10, 25), lon=rng.uniform(60, 80), row=i) for i in range(400)]

@@ -6,6 +6,8 @@ import json
 import pytest
 
 from helpers import by
+from pyspark.sql import functions as F
+
 from isohaline.operators import evaluate, ingest
 from isohaline.schema import RAW_EXPORT, ContractError
 from isohaline.sources import cases, exports, manifest
@@ -15,6 +17,18 @@ from isohaline.vocabulary import EXPORT_COLUMNS
 UNITS = ",".join("UTC" if c == "time" else "1" for c in EXPORT_COLUMNS)
 
 
+def test_quoted_fields_and_equal_names_in_two_folders(spark, tmp_path):
+    for folder, n in (("x", 3), ("y", 5)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.csv").write_text(export_text([line(i) for i in range(n)]))
+    rows = exports.read_exports(spark, f"{tmp_path}/*")
+    assert sorted(r.source_row for r in rows.collect()) == [3, 3, 4, 4, 5, 5, 6, 7]
+    odd = rows.limit(2).withColumn("platform_number", F.lit('19,"02"'))
+    exports.write_exports(odd, f"{tmp_path}/out")
+    back = exports.read_exports(spark, f"{tmp_path}/out").collect()
+    assert [r.platform_number for r in back] == ['19,"02"'] * 2 and {r.source_row for r in back} == {3, 4}
+
+
 def export_text(rows):
     return "\n".join([",".join(EXPORT_COLUMNS), UNITS, *rows]) + "\n"
 
@@ -102,7 +116,7 @@ def test_documents(spark, tmp_path):
     assert [r.psal_adjusted_qc for r in rows[:3]] == ["1", "1", "4"] and {r.data_mode for r in rows} == {"D"}
     assert (rows[0].platform_number, rows[0].cycle_number, rows[0].latitude, rows[0].position_qc) == ("7901125", "2", 14.1, "1")
     many = spark.createDataFrame([("s", str(i)) for i in range(250)], "selection_id string, body string")
-    assert cap_documents(many).count() == 200
+    assert cap_documents(many, 200).count() == 200
 
 
 def test_methods(spark):

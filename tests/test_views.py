@@ -88,10 +88,11 @@ def test_density_and_month_grid(spark):
     assert min(r.scaled for r in grid) == 0.0 and max(r.scaled for r in grid) == 1.0 and len(grid) == 16
 
 
-def test_ts_pairs_are_bounded_and_repeatable(spark):
+def test_ts_pairs_are_whole_and_their_sample_repeatable(spark):
     judged, _ = four_casts(spark)
     many = judged.withColumn("source_row", F.explode(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: i * 1000 + F.col("source_row"))))
-    one, two = supplementary.ts_pairs(many, K).collect(), supplementary.ts_pairs(many.repartition(7), K).collect()
+    assert supplementary.ts_pairs(many, K).count() == 640
+    one, two = supplementary.ts_pairs(many, K, 500).collect(), supplementary.ts_pairs(many.repartition(7), K, 500).collect()
     assert len(one) == 500 and sorted(map(str, one)) == sorted(map(str, two))
     assert (one[0].profile_count, one[0].pair_count) == (4, 640)
 
@@ -102,10 +103,41 @@ def test_one_bad_salinity_flag_removes_one_pair(spark):
     assert quality.paired(judged).count() - quality.paired(worse).count() == 1
 
 
+def test_parameters_of_a_series_keep_apart(spark):
+    rows = [("s", "2024-07", "temperature", 10.0), ("s", "2024-07", "shallow_sst_proxy", 30.0), ("s", "2024-07", "salinity", 35.0)]
+    got = views.merge_parameter_series(spark.createDataFrame(rows, "selection_id string, month string, parameter string, value double")).first()
+    assert (got.temperature, got.shallow_sst_proxy, got.salinity) == (10.0, 30.0, 35.0)
+
+
+def test_short_numbers_and_coordinates(spark):
+    df = spark.createDataFrame([(1234.5678,), (300.12345,), (300.0,), (0.5,), (999.99996,), (25.0,)], "x double")
+    assert [r[0] for r in df.select(report.short_number(F.col("x"))).collect()] == ["1234.57", "300.123", "300", "0.5", "1000", "25"]
+    assert df.limit(1).select(report.coordinate(F.lit(12.345678), "N", "S", F.lit(9))).first()[0] == "12.3457°N"
+
+
+def traced(spark, rows, view, parameter="temperature"):
+    judged = quality.judge(obs_frame(spark, rows), "temperature").withColumns({"selection_id": F.lit("s"), "parameter": F.lit(parameter)})
+    asked = selections(spark, selection("s", view=view, parameters=(parameter,)))
+    return lineage.traced_rows(judged, profiles.profile_facts(judged, lineage.KEYS), asked)
+
+
+def test_trace_follows_the_view(spark):
+    rows = [obs_row("1", "1", pres=5.0, row=1), obs_row("1", "1", pres=60.0, row=2), obs_row("1", "1", pres=250.0, row=3), obs_row("2", "1", pres=700.0, row=4)]
+    shown = lambda view, *p: sorted((r.source_row, r.month, r.bin_no) for r in traced(spark, rows, view, *p).collect())
+    assert shown("regional_average") == [(1, "2024-07", None), (2, "2024-07", None)]
+    assert [r[0] for r in shown("profile")] == [1, 2, 3, 4] and shown("profile")[3] == (4, None, None)
+    assert all(r[1] is None and r[2] is not None for r in shown("profile")[:3])
+    assert [r[:2] for r in shown("time_series")] == [(i, "2024-07") for i in (1, 2, 3, 4)]
+    assert [r[1] for r in shown("time_series", "shallow_sst_proxy")] == ["2024-07"] * 3 + [None]
+    deep = [obs_row("2", "1", pres=700.0, row=4)]
+    assert traced(spark, deep, "profile").count() == 0 and traced(spark, deep, "time_series", "shallow_sst_proxy").count() == 0
+    per = {r.bin_no: r.observation_count for r in lineage.trace_counts(traced(spark, rows, "profile"), "bin_no").collect()}
+    assert sum(per.values()) == 3 and len(per) == 3
+
+
 def test_trace_is_cut_and_sorted_by_row_number(spark):
     rows = [obs_row("1", f"{i:03d}", row=i) for i in range(30)]
-    judged = quality.judge(obs_frame(spark, rows), "temperature")
-    got = lineage.trace(judged, profiles.profile_facts(judged, K), K).first()
+    got = lineage.trace_sample(traced(spark, rows, "time_series"), 25).first()
     assert got.truncated and len(got.profile_ids) == 25 and got.source_records[:3] == ["a.csv:0", "a.csv:1", "a.csv:2"]
     assert got.source_records[10] == "a.csv:10" and got.float_ids == ["1"]
 
