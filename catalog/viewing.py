@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixture import observations
+from catalog.fixture import observations, table
 from catalog.selecting import _global_facts, batch_facts, judged, r6
 from catalog.sqlparts import BATCH, BATCH_FACTS, BIN, LABEL, LONG, MID, facts, with_
 from isohaline.functions.measures import bin_label, bin_mid, depth_bin, seawater_density, unit_of
-from isohaline.operators import quality, supplementary, views
+from isohaline.operators import binning, quality, supplementary, views
 from isohaline.operators.quality import judged_both
 from isohaline.plans import report
 
@@ -52,6 +52,17 @@ def merge_series(spark, sf_dir):
     return out.select("selection_id", "month", r6("temperature"), r6("salinity"), r6("shallow_sst_proxy"))
 
 
+def bin_by_bounds(spark, sf_dir):
+    """Kept observations per bin of a table made from the nations: unequal widths, a gap, and a closed top."""
+    k = F.col("n_nationkey")
+    bins = table(spark, sf_dir, "nation").where("n_nationkey < 20 AND n_nationkey <> 7").select(
+        (k * k).cast("double").alias("lower"), ((k + 1) * (k + 1)).cast("double").alias("upper"), F.col("n_name").alias("label")
+    )
+    kept = judged_both(observations(spark, sf_dir)).where("kept")
+    binned = binning.bin_by_bounds(kept, bins).where("bin_label IS NOT NULL")
+    return binned.groupBy("parameter", "bin_label", "bin_lower", "bin_upper").agg(F.count("*").alias("n_rows"))
+
+
 def bin_by_table(spark, sf_dir):
     """Observations per bin and unit, with the bin's bounds."""
     rows = judged_both(observations(spark, sf_dir)).where("kept").withColumn("bin_no", depth_bin(F.col("pres")))
@@ -141,6 +152,7 @@ QUERIES = {
     "contributing_rows": contributing_rows,
     "merge_series": merge_series,
     "bin_by_table": bin_by_table,
+    "bin_by_bounds": bin_by_bounds,
     "seawater_density": seawater,
     "ts_pairs": ts_pairs,
     "density_profile": density_profile,
@@ -224,6 +236,10 @@ ORACLES = {
     + "SELECT selection_id, month, round(avg(v) FILTER (parameter = 'temperature'), 6) AS temperature, round(avg(v) FILTER (parameter = 'salinity'), 6) AS salinity, "
     "round(avg(v) FILTER (parameter = 'shallow_sst_proxy'), 6) AS shallow_sst_proxy "
     "FROM pv WHERE v IS NOT NULL GROUP BY selection_id, month",
+    "bin_by_bounds": with_(LONG)
+    + "SELECT parameter, n_name AS bin_label, lo AS bin_lower, hi AS bin_upper, count(*) AS n_rows FROM judged JOIN "
+    "(SELECT n_name, CAST(n_nationkey * n_nationkey AS DOUBLE) AS lo, CAST((n_nationkey + 1) * (n_nationkey + 1) AS DOUBLE) AS hi FROM nation "
+    "WHERE n_nationkey < 20 AND n_nationkey <> 7) ON pres >= lo AND (pres < hi OR (pres = 400 AND hi = 400)) WHERE reason IS NULL GROUP BY ALL",
     "bin_by_table": with_(LONG)
     + f"SELECT parameter, CASE WHEN parameter = 'salinity' THEN 'PSU' ELSE '°C' END AS unit, {LABEL} AS depth_bin, CAST({MID} AS DOUBLE) AS depth_mid, n_rows FROM "
     f"(SELECT parameter, {BIN} AS bin_no, count(*) AS n_rows FROM judged WHERE reason IS NULL GROUP BY ALL) WHERE bin_no IS NOT NULL",

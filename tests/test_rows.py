@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import by, obs_frame, obs_row, selection, selections
 from isohaline.functions import geo, measures
-from isohaline.operators import ingest, medians, profiles, quality
+from isohaline.operators import binning, ingest, medians, profiles, quality
 from isohaline.operators.selection import recurring_select, select_observations, selection_violations
 from isohaline.schema import ContractError, check_observations
 
@@ -76,6 +76,16 @@ def test_only_decimal_text_is_a_number(spark):
     assert got == [12.0, -1500.0, 0.5, 7.0, None, None, None, None, float("inf"), None, None]
 
 
+def test_bins_from_a_table(spark):
+    bins = spark.createDataFrame([(10.0, 20.0, "b"), (0.0, 10.0, "a"), (30.0, 40.0, "c")], "lower double, upper double, label string")
+    rows = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 10.0, 20.0, 29.9, 30.0, 40.0, 41.0, None, float("nan"))], "pres double")
+    got = [r.bin_label for r in binning.bin_by_bounds(rows, bins).collect()]
+    assert got == [None, "a", "b", None, None, "c", "c", None, None, None]
+    with pytest.raises(ValueError):
+        binning.bin_by_bounds(rows, bins.unionByName(bins))
+    assert binning.bin_by_bounds(rows, bins.limit(0)).where("bin_label IS NOT NULL").count() == 0
+
+
 def test_a_time_needs_a_date(spark):
     df = spark.createDataFrame([("12:30:00",), ("T10:00",), ("2024-07-10T01:02:03Z",), (" 2024-07-10",)], "t string")
     got = [r[0] for r in df.select(measures.to_utc(F.col("t"))).collect()]
