@@ -5,10 +5,10 @@ into ``BANDS`` bands of ``ROWS`` minima; a pair at similarity 0.8 shares no band
 bits of ``HASHES`` minima are packed into longs; counting differing fields of two signatures estimates the similarity
 corrected for chance agreement, and pairs more than six standard deviations under the threshold are not read in full.
 
-Pairs inside a bucket are not listed all. First every member is compared with the smallest id of its bucket. What is
-then one component needs no more comparisons; only members outside the largest component of a bucket are compared with
-the members of other components. So every pair of different texts that shares a bucket is either confirmed, refuted on
-its own, or inside one component already.
+Pairs inside a bucket are never listed. First every member is compared with the smallest id of its bucket. What is then
+one component needs no more comparisons; only members outside the largest component of a bucket are held against the
+others, block by block, and only links leave a block. So every pair of different texts that shares a bucket is either
+confirmed, refuted on full sets, or inside one component already.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from isohaline.session import written
 
 BANDS, ROWS, HASHES, BITS = 24, 4, 128, 2
+BLOCK_DOCS, BLOCK_BYTES = 1024, 2_000_000
 FIELDS = 64 // BITS  # fields of one packed long
 LONGS = HASHES // FIELDS
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -167,6 +168,49 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return both.select("a", "b", "ta", "tb").mapInPandas(run, f"u {kind}, v {kind}")
 
 
+def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members of different components of a bucket, as edges (u, v).
+
+    ``apart`` marks the members outside the largest component; each is held against all members. Both sides are cut
+    into blocks of at most ``BLOCK_DOCS`` texts and about ``BLOCK_BYTES``, and a task gets one block of either side, counts
+    common shingles there through an inverted list and returns links only, never pairs.
+    """
+    rows = written(open_.join(texts, "rep"), "open")
+    size = lambda c: F.ceil(F.greatest(F.sum(F.when(c, F.octet_length("text"))) / BLOCK_BYTES, F.count_if(c) / BLOCK_DOCS))
+    per = written(rows.groupBy("key").agg(size(F.lit(True)).alias("ny"), size(F.col("apart")).alias("nx")), "blocks")
+    every = rows.join(per, "key")
+    of = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    xs = every.filter("apart").select("key", "rep", "root", "text", F.lit(True).alias("x"), of("nx", 1).alias("xb"), upto("ny").alias("yb"))
+    ys = every.select("key", "rep", "root", "text", F.lit(False).alias("x"), of("ny", 2).alias("yb"), upto("nx").alias("xb"))
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        shingler = Shingler(k)
+        sets = [shingler(t) for t in frame["text"]]
+        is_x = frame["x"].to_numpy(dtype=bool)
+        rep, root = frame["rep"].to_numpy(), frame["root"].to_numpy()
+        x_at, y_at = np.flatnonzero(is_x), np.flatnonzero(~is_x)
+        if not len(x_at) or not len(y_at):
+            return pd.DataFrame({"u": rep[:0], "v": rep[:0]})
+        sizes = np.array([len(s) for s in sets])
+        values = np.concatenate([sets[i] for i in y_at])
+        owner = np.repeat(np.arange(len(y_at)), sizes[y_at])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        out = []
+        for i in x_at:
+            lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+            hits = owner[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())]
+            common = np.bincount(hits, minlength=len(y_at))
+            linked = (100 * common >= percent * (sizes[i] + sizes[y_at] - common)) & (root[y_at] != root[i])
+            out += [(rep[i], rep[j]) for j in y_at[linked]]
+        return pd.DataFrame(out, columns=["u", "v"]) if out else pd.DataFrame({"u": rep[:0], "v": rep[:0]})
+
+    found = xs.unionByName(ys).groupBy("key", "xb", "yb").applyInPandas(links, f"u {kind}, v {kind}")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -206,11 +250,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("m.root").alias("main"))
     main = written(main, "main")
-    open_ = written(placed.join(main, "key"), "open")
-    x, y = open_.filter("root <> main").alias("x"), open_.alias("y")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (similarity(F.col("x.sig"), F.col("y.sig")) >= least)
-    rest = x.join(y, across).select(F.least("x.rep", "y.rep").alias("b"), F.greatest("x.rep", "y.rep").alias("a")).distinct()
-    more = written(_confirmed(rest.select("a", "b"), texts, k, percent), "more")
+    open_ = placed.join(main, "key").select("key", "rep", "root", (F.col("root") != F.col("main")).alias("apart"))
+    more = written(_across(open_, texts, k, percent), "more")
     if not more.isEmpty():
         rooted = components(links.unionByName(more))
 
