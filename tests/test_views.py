@@ -212,8 +212,8 @@ def test_answer_end_to_end(spark):
     assert set(extra) == {"ts_diagram", "density_profile", "heat_content", "hovmoller", "seasonal_cycle", "year_over_year", "anomaly_trend"}
     assert extra["anomaly_trend"].where("selection_id = 'ok'").count() == 1 and extra["year_over_year"].count() == 0
     text = by(report.narrate(rows.where("status = 'ok'")).collect(), "selection_id")
-    assert text["ok"].title == "Temperature profile near ok, Jul 2024"
-    assert "expanded from 300 km" in text["far"].summary
+    assert text["ok"].title == "temperature; depth profile; ok; 2024"
+    assert "widened from 300 km" in text["far"].summary
 
 
 def test_result_does_not_depend_on_partitioning(spark):
