@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohaline.llm.common import partitions_of
+from isohaline.llm.common import partitions_of, travels
 
 CELLS = 24  # cells of a fingerprint
 GROW = 2
@@ -209,3 +209,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs).select("doc_id", "text", "tail").mapInPandas(run, schema)
+
+
+travels(__name__)

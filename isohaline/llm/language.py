@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohaline.llm.common import fold
+from isohaline.llm.common import fold, travels
 
 SPAN = 128  # bytes of a window
 HIDDEN = 12  # units per direction
@@ -229,3 +229,6 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
 def training_rows(docs: DataFrame) -> DataFrame:
     """Documents outside the held-out fold (crc32 of the id modulo 3 is 1)."""
     return docs.filter(fold(F.col("doc_id"), 3) != 1)
+
+
+travels(__name__)

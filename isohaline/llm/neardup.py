@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isohaline.llm.common import travels
 from isohaline.session import written
 
 BANDS, ROWS, HASHES, BITS = 24, 4, 128, 2
@@ -278,3 +279,6 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     if several.groupBy("rep").count().filter("count > 1").isEmpty():
         return several
     return written(several.dropDuplicates(["rep"]), "texts")
+
+
+travels(__name__)

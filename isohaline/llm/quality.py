@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohaline.llm.common import fold
+from isohaline.llm.common import fold, travels
 from isohaline.session import written
 
 SAMPLE = 100_000  # labelled rows that the fit may use, chosen by a hash of the id
@@ -194,3 +194,6 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 def training_labels(labels: DataFrame) -> DataFrame:
     """Labels outside the held-out fold (crc32 of the id modulo 5 is 0)."""
     return labels.filter(fold(F.col("doc_id"), 5) != 0)
+
+
+travels(__name__)

@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from isohaline.llm.common import travels
+
 MIN_REPEAT = 50  # code points of the shortest repeat that counts
 MAX_COVERED = 0.4  # covered share of the text above which it is rejected
 MAX_LONGEST = 0.3  # longest repeat, as a share of the text, above which it is rejected
@@ -202,3 +204,6 @@ def rate_repetition(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {COLUMNS}")
+
+
+travels(__name__)
