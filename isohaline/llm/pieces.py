@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohaline.llm.common import travels
 from isohaline.session import written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DICTIONARY = 400_000  # words that may be broadcast; with LONGEST_WORD this bounds the dictionary at about 100 MB a process
+DICTIONARY = 250_000  # words that may be broadcast; with LONGEST_WORD this bounds the dictionary at about 80 MB a process
+RARE = 60_000  # rare words that a task remembers
+ROWS_OUT = 500  # documents of one output batch
 LONGEST_WORD = 48  # code points of a dictionary word
 MAX_PIECES = 300_000
 SPACE = "▁"
@@ -68,15 +72,11 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(ids, scores, byte_ids, raw)
 
 
-def marked(text: Column) -> Column:
-    """Text with spaces as marks and one mark in front, as the tokenizer sees it."""
-    return F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-
-
 def frequent_words(docs: DataFrame, limit: int = DICTIONARY) -> DataFrame:
-    """Distinct words by count, as many as fit ``limit``: all with at least the smallest power of two that fits."""
-    texts = docs.filter(F.col("text") != "").select(F.regexp_extract_all(marked(F.col("text")), F.lit(UNITS), F.lit(0)).alias("u"))
-    counts = texts.select(F.explode("u").alias("word")).groupBy("word").count().filter(F.char_length("word") <= LONGEST_WORD)
+    """Distinct words, marked, by count: all with at least the smallest power of two that leaves ``limit`` of them."""
+    texts = docs.filter(F.col("text") != "").select(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ").alias("u"))
+    counts = texts.select(F.explode("u").alias("word")).groupBy("word").count()
+    counts = counts.select(F.concat(F.lit(SPACE), "word").alias("word"), "count").filter(F.char_length("word") <= LONGEST_WORD)
     counts = written(counts.filter("count > 1"), "words").withColumn("level", F.floor(F.log2("count")))
     least, total = 64, 0
     for r in sorted(counts.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
@@ -131,16 +131,44 @@ def folded(graph: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 
 def merge_word(word: str, vocab: Vocabulary) -> list[int]:
-    """Pieces of one word by the same merges, with a heap, so that long words take n log n steps."""
-    scores = vocab.scores
+    """Pieces of one word by the same merges."""
+    parts = _merged(word, vocab.scores) if len(word) <= 64 else _merged_long(word, vocab.scores)
+    out = []
+    for t in parts:
+        i = vocab.ids.get(t)
+        out += [i] if i is not None else [vocab.byte_ids[b] for b in t.encode("utf-8", "surrogatepass")]
+    return out
+
+
+def _merged(word: str, scores: dict[str, float]) -> list[str]:
+    none = float("-inf")
+    parts = list(word)
+    pairs = [scores.get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while pairs:
+        best = max(pairs)
+        if best == none:
+            break
+        i = pairs.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = scores.get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = scores.get(parts[i - 1] + parts[i], none)
+    return parts
+
+
+def _merged_long(word: str, scores: dict[str, float]) -> list[str]:
+    """With a heap, so that a word without end takes n log n steps."""
     text, n = list(word), len(word)
     ahead, behind = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        s = scores.get(text[i] + text[i + 1])
-        if s is not None:
-            heap.append((-s, i, text[i] + text[i + 1]))
+    heap = [(-scores[p], i, p) for i, p in enumerate(map("".join, zip(text, text[1:]))) if p in scores]
     heapq.heapify(heap)
+
+    def offer(i: int, piece: str) -> None:
+        if piece in scores:
+            heapq.heappush(heap, (-scores[piece], i, piece))
+
     while heap:
         _, i, piece = heapq.heappop(heap)
         j = ahead[i]
@@ -150,19 +178,10 @@ def merge_word(word: str, vocab: Vocabulary) -> list[int]:
         k = ahead[i] = ahead[j]
         if k < n:
             behind[k] = i
-            s = scores.get(piece + text[k])
-            if s is not None:
-                heapq.heappush(heap, (-s, i, piece + text[k]))
-        h = behind[i]
-        if h >= 0:
-            s = scores.get(text[h] + piece)
-            if s is not None:
-                heapq.heappush(heap, (-s, h, text[h] + piece))
-    out = []
-    for t in filter(None, text):
-        i = vocab.ids.get(t)
-        out += [i] if i is not None else [vocab.byte_ids[b] for b in t.encode("utf-8", "surrogatepass")]
-    return out
+            offer(i, piece + text[k])
+        if behind[i] >= 0:
+            offer(behind[i], text[behind[i]] + piece)
+    return [t for t in text if t]
 
 
 def decode_ids(ids, raw: list[bytes]) -> str:
@@ -185,33 +204,34 @@ def encode(docs: DataFrame, path: str = MODEL, limit: int = DICTIONARY) -> DataF
     empty text has no pieces. Repeated rows and null ids give a row each; an empty table gives none.
     """
     vocab = load(path)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocab, dictionary(docs, vocab, limit)))
+    known_words = docs.sparkSession.sparkContext.broadcast(dictionary(docs, vocab, limit))
     kind = docs.schema["doc_id"].dataType.simpleString()
     find = re.compile(UNITS).findall
 
     def run(batches):
-        vocab, known = shared.value
+        known = known_words.value
         rare: dict[str, bytes] = {}
         for b in batches:
-            if len(rare) > 200_000:
-                rare.clear()
-            rows = []
-            for text in b["text"]:
-                text = text or ""
-                parts = []
-                for u in find(SPACE + text.replace(" ", SPACE)) if text else ():
-                    p = known.get(u) or rare.get(u)
-                    if p is None:
-                        p = np.array(merge_word(u, vocab), dtype=np.int32).tobytes()
-                        if len(u) <= LONGEST_WORD:
-                            rare[u] = p
-                    parts.append(p)
-                ids = np.frombuffer(b"".join(parts), dtype=np.int32)
-                rows.append((len(ids), ids, decode_ids(ids.tolist(), vocab.raw) == text))
-            out = pd.DataFrame(rows, columns=["n_pieces", "pieces", "round_trip"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+            for at in range(0, len(b), ROWS_OUT):
+                part = b.iloc[at : at + ROWS_OUT]
+                if len(rare) > RARE:
+                    rare.clear()
+                rows = []
+                for text in part["text"]:
+                    text = text or ""
+                    found = []
+                    for u in find(SPACE + text.replace(" ", SPACE)) if text else ():
+                        p = known.get(u) or rare.get(u)
+                        if p is None:
+                            p = array("i", merge_word(u, vocab)).tobytes()
+                            if len(u) <= LONGEST_WORD:
+                                rare[u] = p
+                        found.append(p)
+                    ids = np.frombuffer(b"".join(found), dtype=np.int32)
+                    rows.append((len(ids), ids, decode_ids(ids.tolist(), vocab.raw) == text))
+                out = pd.DataFrame(rows, columns=["n_pieces", "pieces", "round_trip"])
+                out.insert(0, "doc_id", part["doc_id"].to_numpy())
+                yield out
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_pieces long, pieces array<int>, round_trip boolean")
 
@@ -232,3 +252,6 @@ def piece_table(spark: SparkSession, path: str = MODEL) -> DataFrame:
     """The piece table as rows (id, piece, score), for users who join it themselves."""
     vocab = load(path)
     return spark.createDataFrame([(i, p, vocab.scores[p]) for p, i in vocab.ids.items()], "id int, piece string, score double")
+
+
+travels(__name__)
