@@ -101,12 +101,15 @@ def file_digests(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
-def source_audit(spark: SparkSession, glob: str, rows: DataFrame) -> DataFrame:
-    """Per export: size, digest, input rows and the label of its origin."""
+def source_audit(spark: SparkSession, glob: str, rows: DataFrame, origins: dict[str, str], otherwise: str) -> DataFrame:
+    """Per export: size, digest, input rows and the label of its origin.
+
+    ``origins`` maps a part of a file name to a label; the first that fits counts, ``otherwise`` if none does.
+    """
     counts = rows.groupBy(F.col("_source_file").alias("name")).agg(F.count("*").alias("input_rows"))
-    origin = F.when(F.col("name").contains("ERDDAP"), "Ifremer ARGO ERDDAP").otherwise(
-        "INCOIS ARGO export supplied to project"
-    )
+    origin = F.lit(otherwise)
+    for part, label in reversed(origins.items()):
+        origin = F.when(F.col("name").contains(part), label).otherwise(origin)
     return file_digests(spark, glob).join(counts, "name", "left").select(
         "name", origin.alias("origin"), "sha256", "size_bytes", F.coalesce("input_rows", F.lit(0)).alias("input_rows")
     )

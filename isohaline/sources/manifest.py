@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohaline.schema import ContractError
 from isohaline.sources.exports import file_digests
 
 MANIFEST = (
@@ -39,6 +40,13 @@ def verify_artifacts(manifest: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def single(manifest: DataFrame) -> DataFrame:
+    """The manifest, refused unless it is one document: nothing could say which of several counts."""
+    if len(manifest.select("status").limit(2).collect()) != 1:
+        raise ContractError("a manifest is exactly one document")
+    return manifest
+
+
 def readiness(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """One row: ready flag and the reason, checked in a fixed order."""
     checked = verify_artifacts(manifest, files).agg(
@@ -47,21 +55,21 @@ def readiness(manifest: DataFrame, files: DataFrame) -> DataFrame:
         F.bool_or(F.col("kind") == "profiles").alias("has_profiles"),
         F.bool_or(F.col("kind") == "production_baseline").alias("has_baseline"),
     )
-    state = manifest.select("status").limit(1).withColumn("_k", F.lit(1)).join(checked.withColumn("_k", F.lit(1)), "_k")
+    state = single(manifest).select("status").withColumn("_k", F.lit(1)).join(checked.withColumn("_k", F.lit(1)), "_k")
     reason = (
-        F.when(F.coalesce(F.col("status"), F.lit("")) != "ready", "data manifest is not marked ready")
-        .when(F.col("n") == 0, "data manifest has no artifacts")
-        .when(~F.col("all_present"), "a declared data artifact is missing")
-        .when(~F.coalesce("has_profiles", F.lit(False)), "The data manifest has no profiles artifact.")
-        .when(~F.coalesce("has_baseline", F.lit(False)), "The data manifest has no production baseline artifact.")
+        F.when(F.coalesce(F.col("status"), F.lit("")) != "ready", "status is not ready")
+        .when(F.col("n") == 0, "no files declared")
+        .when(~F.col("all_present"), "declared files are missing")
+        .when(~F.coalesce("has_profiles", F.lit(False)), "no file of profiles declared")
+        .when(~F.coalesce("has_baseline", F.lit(False)), "no file of the baseline declared")
     )
-    fine = "query-ready profiles and production baseline are present"
+    fine = "profiles and baseline are in place"
     return state.select(reason.isNull().alias("ready"), F.coalesce(reason, F.lit(fine)).alias("detail"))
 
 
 def thresholds(manifest: DataFrame) -> dict:
     """Grade thresholds of the single manifest document."""
-    p = manifest.select("evidence_grade_policy.*").first()
+    p = single(manifest).select("evidence_grade_policy.*").first()
     return {
         "min_valid_profiles": 5 if p[1] is None else p[1],
         "min_baseline_n": p[2],

@@ -75,9 +75,9 @@ def test_audit_digests_and_origin(spark, tmp_path):
     text = export_text([line(i) for i in range(5)])
     (tmp_path / "ERDDAP_x.csv").write_text(text)
     glob = str(tmp_path / "*.csv")
-    got = exports.source_audit(spark, glob, exports.read_exports(spark, glob)).first()
+    got = exports.source_audit(spark, glob, exports.read_exports(spark, glob), {"ERDDAP": "service"}, "by hand").first()
     assert (got.sha256, got.size_bytes, got.input_rows) == (hashlib.sha256(text.encode()).hexdigest(), len(text), 5)
-    assert got.origin == "Ifremer ARGO ERDDAP"
+    assert got.origin == "service"
 
 
 def test_manifest_readiness(spark, tmp_path):
@@ -90,9 +90,11 @@ def test_manifest_readiness(spark, tmp_path):
     files = exports.file_digests(spark, str(tmp_path / "*.parquet"))
     checked = by(manifest.verify_artifacts(m, files).collect(), "kind")
     assert checked["profiles"].digest_ok and checked["profiles"].size_ok and not checked["production_baseline"].present
-    assert manifest.readiness(m, files).first().detail == "a declared data artifact is missing"
+    assert manifest.readiness(m, files).first().detail == "declared files are missing"
     (tmp_path / "b.parquet").write_bytes(b"abc")
     assert manifest.readiness(m, exports.file_digests(spark, str(tmp_path / "*.parquet"))).first().ready
+    with pytest.raises(ContractError):
+        manifest.readiness(m.unionByName(m), files)
     limits = manifest.thresholds(m)
     assert (limits["min_valid_profiles"], limits["min_baseline_n"], limits["min_distinct_floats"], limits["reviewed"]) == (5, 10, None, True)
 
