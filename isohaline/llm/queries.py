@@ -45,7 +45,7 @@ def op6_fingerprints(spark, sf_dir):
 
 def op7_line_dedup(spark, sf_dir):
     cut = dedup_lines(documents(spark, sf_dir))
-    return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size("_gone").alias("n_removed"), F.col("_gone").alias("removed_lines"), "text")
+    return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size("_gone").alias("n_removed"), F.concat_ws(",", F.col("_gone").cast("array<string>")).alias("removed_lines"), "text")
 
 
 def op8_mix_sources(spark, sf_dir):
@@ -100,6 +100,32 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(u.n, 0) * q.size
 FROM queued q LEFT JOIN used u ON u.k = q.k AND u.rnk = q.rnk AND u.size = q.size AND u.doc_id IS NOT DISTINCT FROM q.doc_id
 """
 
+LINES_SQL = """
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM raw),
+worded AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS nw FROM lines),
+seq AS (
+  SELECT *, row_number() OVER d AS n, sum(nw) OVER d AS upto FROM worded WHERE nw > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+reaches AS (
+  SELECT a.doc_id, a.n AS s, b.n AS e FROM seq a JOIN seq b
+    ON a.doc_id = b.doc_id AND b.n BETWEEN a.n AND a.n + 49 AND b.upto - a.upto + a.nw >= 50),
+parts AS (
+  SELECT doc_id, s, min(e) AS e FROM reaches GROUP BY doc_id, s UNION SELECT doc_id, max(s) AS s, e FROM reaches GROUP BY doc_id, e),
+runs AS (
+  SELECT p.doc_id, p.s, p.e, string_agg(q.line, chr(10) ORDER BY q.n) AS run
+  FROM parts p JOIN seq q ON q.doc_id = p.doc_id AND q.n BETWEEN p.s AND p.e GROUP BY 1, 2, 3),
+copies AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, s) > 1),
+gone AS (
+  SELECT DISTINCT q.doc_id, q.i FROM copies c JOIN seq q ON q.doc_id = c.doc_id AND q.n BETWEEN c.s AND c.e),
+cut AS (
+  SELECT l.doc_id, CAST(count(g.i) AS INTEGER) AS n_removed, coalesce(string_agg(CAST(g.i AS VARCHAR), ',' ORDER BY l.i), '') AS removed_lines,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS kept
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT r.doc_id, CAST(len(r.ls) AS INTEGER) AS n_lines, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.removed_lines, '') AS removed_lines,
+       CASE WHEN c.n_removed > 0 THEN c.kept ELSE r.text END AS text
+FROM raw r LEFT JOIN cut c ON c.doc_id = r.doc_id
+"""
+
 NEAR_SQL = """
 WITH RECURSIVE worded AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -124,4 +150,4 @@ LEFT JOIN (SELECT node, min(seen) AS root FROM reach GROUP BY node) m ON m.node
 """
 
 QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_language_id": op2_language_id, "op3_repetition_rules": op3_repetition_rules, "op4_near_dedup": op4_near_dedup, "op5_license_scan": op5_license_scan, "op6_fingerprints": op6_fingerprints, "op7_line_dedup": op7_line_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan, "op10_sentencepiece": op10_sentencepiece}
-ORACLES = {"op4_near_dedup": NEAR_SQL, "op8_mix_sources": MIX_SQL}
+ORACLES = {"op4_near_dedup": NEAR_SQL, "op7_line_dedup": LINES_SQL, "op8_mix_sources": MIX_SQL}
