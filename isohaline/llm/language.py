@@ -20,10 +20,10 @@ from isohaline.llm.common import fold, travels
 
 SPAN = 128  # bytes of a window
 HIDDEN = 12  # units per direction
-BLOCK = 4096  # windows scored in lockstep
+BLOCK = 896  # windows scored in lockstep; products of this size stay in one thread of the linear algebra library
 DOCS_PER_LANGUAGE = 1500  # documents that training may use per language, chosen by a hash of the id and text
 WINDOWS_PER_DOC = 3  # windows of each, spread evenly over the whole text
-STEPS, BATCH, RATE = 220, 192, 0.02
+STEPS, BATCH, RATE = 120, 192, 0.02
 UNKNOWN = "und"
 
 
@@ -109,11 +109,11 @@ class Model:
         """Probabilities [T, B, L] at every byte of x [T, B], and the states of both directions."""
         f, g = self.ahead.read(x), self.behind.read(x[::-1])[::-1]
         h = f.shape[2]
-        logits = f.reshape(-1, h) @ self.w[:h] + np.ascontiguousarray(g).reshape(-1, h) @ self.w[h:] + self.b
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = np.matmul(f, self.w[:h]) + np.matmul(g, self.w[h:]) + self.b
+        logits -= logits.max(axis=2, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        return logits.reshape(*x.shape, -1), f, g
+        logits /= logits.sum(axis=2, keepdims=True)
+        return logits, f, g
 
 
 def windows_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
