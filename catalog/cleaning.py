@@ -140,6 +140,26 @@ def artifact_audit(spark, sf_dir):
     return manifest.verify_artifacts(declared.withColumn("status", F.lit("ready")), files)
 
 
+def artifact_audit_tables(spark, sf_dir):
+    """Four claims about every file of every table: the truth, a wrong size, a wrong digest and a file that is not there.
+
+    Per table and claim: what the audit says of all its files alike, NULL if it does not say the same of each.
+    """
+    files = exports.file_digests(spark, f"{sf_dir}/*.parquet")
+    below = F.regexp_extract("path", r"([^/]+\.parquet(?:/[^/]+)?)$", 1)  # a table is a file or a folder of files
+    files = files.withColumn("name", F.translate(below, "/", "|"))
+    claim = lambda kind, path, size, digest: F.struct(path.alias("path"), F.lit(kind).alias("kind"), digest.alias("sha256"), size.alias("size_bytes"), F.lit(0).cast("bigint").alias("row_count"))
+    name, size, digest = F.col("name"), F.col("size_bytes"), F.col("sha256")
+    claims = F.array(
+        claim("right", name, size, digest), claim("wrong size", name, size + 1, digest),
+        claim("wrong digest", name, size, F.reverse(digest)), claim("absent", F.concat(name, F.lit("|absent")), size, digest),
+    )
+    checked = manifest.verify_artifacts(files.select(claims.alias("artifacts")), files)
+    alike = lambda c: F.when(F.bool_and(c), True).when(~F.bool_or(c), False).alias(c)
+    table = F.element_at(F.split("path", r"\|"), 1).alias("path")
+    return checked.groupBy(table, "kind").agg(*[alike(c) for c in ("present", "size_ok", "digest_ok")])
+
+
 def source_audit(spark, sf_dir):
     """Per origin of the written export files: input rows, and whether every file has a size and a digest."""
     path = export_files(spark, sf_dir)
@@ -167,11 +187,16 @@ QUERIES = {
     "contract_columns": contract_columns,
     "ingest_roundtrip": ingest_roundtrip,
     "artifact_audit": artifact_audit,
+    "artifact_audit_tables": artifact_audit_tables,
     "source_audit": source_audit,
 }
 ORACLES = {
     "artifact_audit": "SELECT * FROM (VALUES ('nation.parquet', 'profiles', TRUE, TRUE, TRUE), ('region.parquet', 'profiles', TRUE, FALSE, FALSE), "
     "('absent.parquet', 'profiles', FALSE, FALSE, FALSE)) t(path, kind, present, size_ok, digest_ok)",
+    "artifact_audit_tables": "SELECT t || '.parquet' AS path, kind, present, size_ok, digest_ok FROM (VALUES ('region'), ('nation'), ('customer'), "
+    "('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), "
+    "('conversations')) a(t), (VALUES ('right', TRUE, TRUE, TRUE), ('wrong size', TRUE, FALSE, TRUE), ('wrong digest', TRUE, TRUE, FALSE), "
+    "('absent', FALSE, FALSE, FALSE)) b(kind, present, size_ok, digest_ok)",
     "source_audit": with_(OBS, _DEDUP_SQL) + "SELECT CAST(count(*) AS BIGINT) AS input_rows, TRUE AS digests, CAST(1 AS BIGINT) AS first_files FROM dd",
     "obs_clean": with_(OBS, _CLEAN_SQL) + _SHOW + "clean",
     "dedup_levels": with_(OBS, _DEDUP_SQL) + _SHOW + "dd",

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 
 import pytest
 
@@ -99,6 +100,35 @@ def test_manifest_readiness(spark, tmp_path):
     assert (limits["min_valid_profiles"], limits["min_baseline_n"], limits["min_distinct_floats"], limits["reviewed"]) == (5, 10, None, True)
 
 
+def test_every_table_file_is_audited(spark, tmp_path):
+    from catalog import QUERIES
+
+    (tmp_path / "lineitem.parquet").write_bytes(b"abc")
+    for table in ("documents.parquet", "pages.parquet"):
+        (tmp_path / table).mkdir()
+        for k in range(3):
+            (tmp_path / table / f"part-{k}.parquet").write_bytes(f"{table} {k}".encode())
+    got = {(r.path, r.kind): (r.present, r.size_ok, r.digest_ok) for r in QUERIES["artifact_audit_tables"](spark, str(tmp_path)).collect()}
+    says = {"right": (True, True, True), "wrong size": (True, False, True), "wrong digest": (True, True, False), "absent": (False, False, False)}
+    assert got == {(t, k): v for t in ("lineitem.parquet", "documents.parquet", "pages.parquet") for k, v in says.items()}
+
+
+def test_audit_of_all_tables_matches_sql(spark, tmp_path):
+    """Every table of the driver's folder, and a folder that lacks one."""
+    from catalog import ORACLES, QUERIES
+    from check import difference, duck
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables are absent")
+    query, sql = QUERIES["artifact_audit_tables"], ORACLES["artifact_audit_tables"]
+    assert difference(spark, duck(sf), "artifact_audit_tables", query, sql, sf) is None
+    for name in os.listdir(sf):
+        if name != "events.parquet":
+            (tmp_path / name).symlink_to(f"{sf}/{name}")
+    assert difference(spark, duck(sf), "artifact_audit_tables", query, sql, str(tmp_path)) is not None
+
+
 def document(t_mode="D", s_mode="D", doc_id="7901125_002", cycle=2):
     return {
         "_id": doc_id, "geolocation": {"type": "Point", "coordinates": [88.95, 14.1]}, "timestamp": "2023-01-16T04:00:00.000Z",
