@@ -1,7 +1,8 @@
 """Near-duplicate documents by b-bit MinHash: band candidates, bit-count estimates, confirmation on full shingle sets.
 
-Texts with equal shingle sets collapse first, by a digest of the set, into the smallest id. The representatives are cut
-into ``BANDS`` bands of ``ROWS`` minima; a pair at similarity 0.8 shares no band with probability 3e-6. The low ``BITS``
+Texts with equal shingle sets collapse first, by a digest of the set, into the smallest id. That digest, not the id, is
+the node of buckets, pairs, texts and signatures, as one id may stand for several texts; only edges are in ids. The
+representatives are cut into ``BANDS`` bands of ``ROWS`` minima; a pair at similarity 0.8 shares no band with probability 3e-6. The low ``BITS``
 bits of ``HASHES`` minima are packed into longs; counting differing fields of two signatures estimates the similarity
 corrected for chance agreement, and pairs more than six standard deviations under the threshold are not read in full.
 
@@ -109,7 +110,7 @@ def floor_for(percent: int) -> float:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set digest, packed signature, band keys of every row."""
+    """doc_id, text hash, n_shingles, set digest, packed signature, band keys of every row."""
 
     def run(batches):
         shingler = Shingler(k)
@@ -117,12 +118,13 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             sets = [shingler(t) for t in b["text"]]
             m = np.array([minima(s) for s in sets]).reshape(len(sets), HASHES)
             yield pd.DataFrame({
-                "doc_id": b["doc_id"], "n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                "doc_id": b["doc_id"], "h": b["h"], "n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "sig": list(packed(m)), "bands": list(band_keys(m)),
             })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, digest binary, sig array<long>, bands array<long>")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return hashed.mapInPandas(run, f"doc_id {kind}, h long, n long, digest binary, sig array<long>, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,17 +150,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets reach the threshold, as edges (u, v)."""
-    left = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
+    """Pairs (a, b) of the texts (da, db) whose full shingle sets reach the threshold, as edges (u, v)."""
+    left = pairs.join(texts.select(F.col("digest").alias("da"), F.col("text").alias("ta")), "da")
+    both = left.join(texts.select(F.col("digest").alias("db"), F.col("text").alias("tb")), "db")
 
     def run(batches):
         shingler, last, held = Shingler(k), None, None
         for batch in batches:
             out = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-                if b != last:
-                    last, held = b, shingler(tb)
+            for a, b, db, ta, tb in zip(batch["a"], batch["b"], batch["db"], batch["ta"], batch["tb"]):
+                if db != last:
+                    last, held = db, shingler(tb)
                 own = shingler(ta)
                 inter = len(np.intersect1d(own, held, assume_unique=True))
                 if 100 * inter >= percent * (len(own) + len(held) - inter):
@@ -166,7 +168,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
             yield pd.DataFrame(out, columns=["u", "v"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, f"u {kind}, v {kind}")
+    return both.select("a", "b", "db", "ta", "tb").mapInPandas(run, f"u {kind}, v {kind}")
 
 
 def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -176,15 +178,15 @@ def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     into blocks of at most ``BLOCK_DOCS`` texts and about ``BLOCK_BYTES``, and a task gets one block of either side, counts
     common shingles there through an inverted list and returns links only, never pairs.
     """
-    rows = written(open_.join(texts, "rep"), "open")
+    rows = written(open_.join(texts, "digest"), "open")
     size = lambda c: F.ceil(F.greatest(F.sum(F.when(c, F.octet_length("text"))) / BLOCK_BYTES, F.count_if(c) / BLOCK_DOCS))
     per = written(rows.groupBy("key").agg(size(F.lit(True)).alias("ny"), size(F.col("apart")).alias("nx")), "blocks")
     every = rows.join(per, "key")
-    of = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n))
+    of = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "digest"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     xs = every.filter("apart").select("key", "rep", "root", "text", F.lit(True).alias("x"), of("nx", 1).alias("xb"), upto("ny").alias("yb"))
     ys = every.select("key", "rep", "root", "text", F.lit(False).alias("x"), of("ny", 2).alias("yb"), upto("nx").alias("xb"))
-    kind = texts.schema["rep"].dataType.simpleString()
+    kind = open_.schema["rep"].dataType.simpleString()
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
         shingler = Shingler(k)
@@ -223,35 +225,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     sigs = written(signatures(docs, k), "signatures")
     some = sigs.filter("n > 0 AND doc_id IS NOT NULL")
-    groups = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("x")), "groups")
+    groups = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sig", "bands", "h"), "doc_id").alias("x")), "groups")
     members = some.select("doc_id", "digest").join(groups.select("digest", "rep"), "digest").select("doc_id", "rep")
     own = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
     own = written(own, "members")
     several = own.filter("rep <> other").select("doc_id")
     twice = members.join(several, "doc_id").join(own.select("doc_id", F.col("rep").alias("first")), "doc_id").select(F.col("rep").alias("u"), F.col("first").alias("v"))
 
-    banded = groups.select("rep", "digest", F.col("x.sig").alias("sig"), F.explode("x.bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    banded = groups.select("rep", "digest", F.explode("x.bands").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min(F.struct("rep", "digest")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     hubs = written(hubs, "hubs")  # written minima leave the joins with an exchange of their own, whose hot partitions split
     buckets = written(banded.join(hubs.select("key", "hub"), "key"), "buckets")
-    wanted = buckets.select("rep", "digest").distinct()
+    wanted = groups.join(buckets.select("digest").distinct(), "digest", "left_semi").select("rep", "digest", F.col("x.h").alias("h"))
     texts = _texts_of(docs, wanted, k)
 
     least = floor_for(percent)
-    sig = groups.select("rep", F.col("x.sig").alias("sig"))
-    pairs = buckets.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    sig = groups.select("digest", F.col("x.sig").alias("sig"))
+    pairs = buckets.filter("rep <> hub.rep").select(F.col("rep").alias("a"), F.col("digest").alias("da"), F.col("hub.rep").alias("b"), F.col("hub.digest").alias("db")).distinct()
     p, sa, sb = pairs.alias("p"), sig.alias("sa"), sig.alias("sb")
-    pairs = p.join(sa, F.col("a") == F.col("sa.rep")).join(sb, F.col("b") == F.col("sb.rep"))
-    pairs = pairs.filter(similarity(F.col("sa.sig"), F.col("sb.sig")) >= least).select("a", "b")
+    pairs = p.join(sa, F.col("da") == F.col("sa.digest")).join(sb, F.col("db") == F.col("sb.digest"))
+    pairs = pairs.filter(similarity(F.col("sa.sig"), F.col("sb.sig")) >= least).select("a", "da", "b", "db")
     links = written(_confirmed(pairs, texts, k, percent).unionByName(twice), "links")
 
     rooted = components(links)
     b, c = buckets.alias("b"), rooted.alias("c")
-    placed = written(b.join(c, F.col("b.rep") == F.col("c.node"), "left").select("key", "rep", "sig", F.coalesce("root", "rep").alias("root")), "placed")
+    placed = written(b.join(c, F.col("b.rep") == F.col("c.node"), "left").select("key", "rep", "digest", F.coalesce("root", "rep").alias("root")), "placed")
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("m.root").alias("main"))
     main = written(main, "main")
-    open_ = placed.join(main, "key").select("key", "rep", "root", (F.col("root") != F.col("main")).alias("apart"))
+    open_ = placed.join(main, "key").select("key", "rep", "digest", "root", (F.col("root") != F.col("main")).alias("apart"))
     more = written(_across(open_, texts, k, percent), "more")
     if not more.isEmpty():
         rooted = components(links.unionByName(more))
@@ -264,21 +266,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """rep, text of the wanted representatives: one row with that id and that shingle set each."""
+    """digest, text of the wanted texts: one row with that id, that text hash and that shingle set each."""
     w = wanted.withColumnRenamed("digest", "want").alias("w")
-    found = docs.select("doc_id", "text").alias("d").join(w, F.col("d.doc_id") == F.col("w.rep")).select("rep", "want", "text")
+    d = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").alias("d")
+    found = d.join(w, (F.col("d.doc_id") == F.col("w.rep")) & (F.col("d.h") == F.col("w.h"))).select("want", "text")
 
     def run(batches):
         shingler = Shingler(k)
         for b in batches:
             same = [hashlib.blake2b(shingler(t).tobytes(), digest_size=16).digest() == bytes(w) for t, w in zip(b["text"], b["want"])]
-            yield b.loc[same, ["rep", "text"]]
+            yield b.loc[same].rename(columns={"want": "digest"})
 
-    kind = wanted.schema["rep"].dataType.simpleString()
-    several = written(found.mapInPandas(run, f"rep {kind}, text string"), "texts")
-    if several.groupBy("rep").count().filter("count > 1").isEmpty():
+    several = written(found.mapInPandas(run, "digest binary, text string"), "texts")
+    if several.groupBy("digest").count().filter("count > 1").isEmpty():
         return several
-    return written(several.dropDuplicates(["rep"]), "texts")
+    return written(several.dropDuplicates(["digest"]), "texts")
 
 
 travels(__name__)

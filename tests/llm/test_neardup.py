@@ -57,6 +57,31 @@ def test_components_against_brute_force(spark):
         assert sizes == {(i, len(shingles(t, k))) for i, t in rows}
 
 
+def test_every_text_of_a_repeated_id_is_linked(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):  # six texts of document 1, each with a near copy, and an exact one, under larger ids
+        base = [f"g{g}w{i}" for i in range(60)]
+        rows += [(1, " ".join(base)), (1, " ".join(base)), (10 + g, edited(rng, base, 1)), (20 + g, " ".join(base).upper())]
+    rows += [(30, "nothing like the others"), (1, None)]
+    rng.shuffle(rows)
+    want = brute([(i, t) for i, t in rows], 2, 80)
+    assert all(want[i] == 1 for i in want if i != 30)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == len(rows)
+    assert all((r.component_id, r.kept) == (want[r.doc_id], want[r.doc_id] == r.doc_id) for r in got)
+
+
+def test_two_texts_of_an_id_in_one_bucket(spark):
+    """a - b - c are linked in a row; a and c, both texts of document 1, are not alike enough for b's bucket to need a alone."""
+    base = [f"w{i}" for i in range(100)]
+    a, b, c = " ".join(base), " ".join(["x"] * 7 + base[7:]), " ".join(["x"] * 7 + base[7:86] + ["y"] * 14)
+    rows = [(1, a), (1, c), (2, b), (3, " ".join(["x"] * 7 + base[7:80] + ["y"] * 20))]
+    want = brute(rows, 2, 80)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
 def test_chains_longer_than_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
