@@ -12,6 +12,7 @@ from isohaline.llm.linededup import dedup_lines
 from isohaline.llm.mixing import mix
 from isohaline.llm.neardup import near_duplicates
 from isohaline.llm.repetition import rate_repetition
+from isohaline.llm.sharding import shard_documents
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -64,6 +65,11 @@ def op10_sentencepiece(spark, sf_dir):
     return pieces.encode(documents(spark, sf_dir))
 
 
+def op13_sharding(spark, sf_dir):
+    placed = shard_documents(documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "moved")
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
@@ -149,5 +155,17 @@ FROM worded w LEFT JOIN sizes s USING (doc_id)
 LEFT JOIN (SELECT node, min(seen) AS root FROM reach GROUP BY node) m ON m.node = w.doc_id
 """
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_language_id": op2_language_id, "op3_repetition_rules": op3_repetition_rules, "op4_near_dedup": op4_near_dedup, "op5_license_scan": op5_license_scan, "op6_fingerprints": op6_fingerprints, "op7_line_dedup": op7_line_dedup, "op8_mix_sources": op8_mix_sources, "op9_secret_scan": op9_secret_scan, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_language_id": op2_language_id,
+    "op3_repetition_rules": op3_repetition_rules,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_mix_sources": op8_mix_sources,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_sentencepiece": op10_sentencepiece,
+    "op13_sharding": op13_sharding,
+}
 ORACLES = {"op4_near_dedup": NEAR_SQL, "op7_line_dedup": LINES_SQL, "op8_mix_sources": MIX_SQL}
