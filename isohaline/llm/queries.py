@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from isohaline.llm import language, pieces, quality, secrets
 from isohaline.llm.common import documents, fold
 from isohaline.llm.fingerprint import fingerprints
+from isohaline.llm.hardneg import hard_negatives
 from isohaline.llm.licenses import find_licenses
 from isohaline.llm.linededup import dedup_lines
 from isohaline.llm.mixing import mix
@@ -65,6 +66,12 @@ def op10_sentencepiece(spark, sf_dir):
     return pieces.encode(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_sharding(spark, sf_dir):
     placed = shard_documents(documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "moved")
@@ -155,6 +162,28 @@ FROM worded w LEFT JOIN sizes s USING (doc_id)
 LEFT JOIN (SELECT node, min(seen) AS root FROM reach GROUP BY node) m ON m.node = w.doc_id
 """
 
+NEGATIVES_SQL = """
+WITH whole AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS own,
+         CAST(list_sum(list_transform(range(1, len(a.v) + 1), i -> a.v[i] * r.v[i])) AS BIGINT) AS score
+  FROM whole a JOIN whole r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.own
+   AND 100 * s.score BETWEEN 80 * p.positive_score AND 100 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
@@ -166,6 +195,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_sharding": op13_sharding,
 }
-ORACLES = {"op4_near_dedup": NEAR_SQL, "op7_line_dedup": LINES_SQL, "op8_mix_sources": MIX_SQL}
+ORACLES = {"op11_hard_negatives": NEGATIVES_SQL, "op4_near_dedup": NEAR_SQL, "op7_line_dedup": LINES_SQL, "op8_mix_sources": MIX_SQL}
