@@ -165,13 +165,13 @@ LEFT JOIN (SELECT node, min(seen) AS root FROM reach GROUP BY node) m ON m.node
 NEGATIVES_SQL = """
 WITH whole AS (
   SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS own,
-         CAST(list_sum(list_transform(range(1, len(a.v) + 1), i -> a.v[i] * r.v[i])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i])) AS BIGINT) AS score
   FROM whole a JOIN whole r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
 positives AS (
   SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE own
