@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isohaline.llm import language, pieces, quality, secrets
+from isohaline.llm.alignment import align, with_counts
 from isohaline.llm.common import documents, fold
 from isohaline.llm.fingerprint import fingerprints
 from isohaline.llm.hardneg import hard_negatives
@@ -72,6 +73,12 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_alignment(spark, sf_dir):
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    counted = with_counts(align(documents(spark, sf_dir)).withColumn("groups_sha256", digest).drop("groups"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_sharding(spark, sf_dir):
     placed = shard_documents(documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "moved")
@@ -196,6 +203,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_alignment": op12_alignment,
     "op13_sharding": op13_sharding,
 }
 ORACLES = {"op11_hard_negatives": NEGATIVES_SQL, "op4_near_dedup": NEAR_SQL, "op7_line_dedup": LINES_SQL, "op8_mix_sources": MIX_SQL}
