@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from catalog.fixture import table
 from isohaline import vocabulary as v
-from isohaline.session import spread_if_narrow
+from isohaline.functions import text as tx
+from isohaline.operators.names import fuzzy_names, ngrams, spoken
+from isohaline.session import spread_if_narrow, written
 from isohaline.plans import questions
 
 TODAY = date(2026, 8, 22)
@@ -43,6 +45,31 @@ def conversation_places(spark, sf_dir):
     return out.select("conv_id", "turn", "label", "region_id", "query_type", F.col("date_from").cast("string").alias("date_from"), "rejection")
 
 
+KINDS = {"place": questions._names_once(questions._PLACES), "region": questions._names_once(v.REGION_NAME_ORDER)}
+
+
+def _names(df: DataFrame, ids: list[str]) -> DataFrame:
+    """Named and misspelt places and regions of every text, over its whole length."""
+    query = tx.squeeze(tx.fold_case(F.coalesce("text", F.lit(""))))
+    texts = df.select(*ids, F.monotonically_increasing_id().alias("row"), tx.bare_words(query).alias("bare"))
+    texts = written(texts, "bare")
+    grams = texts.withColumn("words", F.split("bare", " ")).withColumn("grams", ngrams(F.col("words")))
+    exact = grams.withColumns({
+        "place": questions.match_names(F.col("grams"), list(questions._PLACES)),
+        "region": questions.match_names(F.col("grams"), v.REGION_NAME_ORDER),
+    })
+    like = fuzzy_names(texts, "row", "bare", KINDS).withColumnsRenamed({k: f"{k}_like" for k in KINDS})
+    return exact.join(like, "row", "left").select(*ids, "place", "region", "place_like", "region_like")
+
+
+def document_names(spark, sf_dir):
+    return _names(spread_if_narrow(table(spark, sf_dir, "documents")), ["doc_id"])
+
+
+def conversation_names(spark, sf_dir):
+    return _names(spread_if_narrow(table(spark, sf_dir, "conversations")), ["conv_id", "turn"])
+
+
 # -- questions whose answer is known ------------------------------------------------------------------
 # Every order asks one question; its key picks place, parameter, period and radius.
 _PLACE = [
@@ -153,6 +180,8 @@ QUERIES = {
     "document_tags": document_tags,
     "conversation_tags": conversation_tags,
     "conversation_places": conversation_places,
+    "document_names": document_names,
+    "conversation_names": conversation_names,
     "question_tags": question_tags,
     "question_selections": question_selections,
     "plan_violations": plan_violations,
@@ -198,7 +227,7 @@ def _tag_sql(source: str, ids: str) -> str:
 def _sql(value) -> str:
     if value is None:
         return "NULL"
-    return str(value).upper() if isinstance(value, bool) else repr(value) if isinstance(value, (int, float)) else "'" + value + "'"
+    return str(value).upper() if isinstance(value, bool) else repr(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
 
 
 _KNOWN = (
@@ -238,7 +267,46 @@ _BAD_PLAN = [
     ("k % 14 = 0", "semantic_validation", "dates_outside_window"),
 ]
 
+_BEST_BLOCK = (
+    "list_max(list_filter(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), "
+    "lambda k: {'k': k, 'i': -i, 'j': strpos(b, substr(a, i, k))}))), lambda h: h.j > 0))"
+)
+
+
+def _names_sql(source: str, ids: str) -> str:
+    """Exact names by rank (longest first, variants after names), similar ones by recursive common blocks of every close pair."""
+    exact, like = [], []
+    for kind, names in (("place", list(questions._PLACES)), ("region", v.REGION_NAME_ORDER)):
+        aliases = [a for a in dict(v.ALIASES) if dict(v.ALIASES)[a] in names]
+        ranked = [(n, n) for n in sorted(names, key=lambda n: -len(spoken(n)))] + [(a, dict(v.ALIASES)[a]) for a in sorted(aliases, key=lambda a: -len(spoken(a)))]
+        exact += [(kind, spoken(n), target, i) for i, (n, target) in enumerate(ranked)]
+        like += [(kind, n, target) for n, target in KINDS[kind].items()]
+    rows = lambda table: ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in table)
+    return (
+        f"WITH RECURSIVE exact(kind, name, target, rank) AS (VALUES {rows(exact)}), names(kind, name, target) AS (VALUES {rows(like)}), "
+        f"n AS (SELECT {ids}, {_NORMAL} AS q FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM {source})), "
+        f"w AS (SELECT {ids}, string_split(trim(regexp_replace(regexp_replace(q, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS ws FROM n), "
+        f"g AS (SELECT {ids}, unnest(flatten(list_transform([3, 2, 1], lambda s: list_transform(range(1, len(ws) - s + 2), "
+        "lambda i: {'seq': (3 - s) * 100000000 + i, 'gram': array_to_string(ws[i:i + s - 1], ' ')})))) AS x FROM w), "
+        f"grams AS (SELECT {ids}, x.seq AS seq, x.gram AS gram FROM g), "
+        "some_grams AS (SELECT DISTINCT gram FROM grams WHERE length(gram) BETWEEN 5 AND 60), "
+        "pairs AS (SELECT DISTINCT gram, name FROM some_grams JOIN (SELECT DISTINCT name FROM names) ON abs(length(gram) - length(name)) <= 0.15 * (length(gram) + length(name)) "
+        "AND levenshtein(gram, name) <= 0.15 * (length(gram) + length(name)) + 1e-9), "
+        "parts(gram, name, a, b) AS (SELECT gram, name, name, gram FROM pairs UNION ALL SELECT gram, name, p.a, p.b FROM (SELECT gram, name, unnest(["
+        "{'a': substr(a, 1, -h.i - 1), 'b': substr(b, 1, h.j - 1)}, {'a': substr(a, -h.i + h.k), 'b': substr(b, h.j + h.k)}]) AS p "
+        f"FROM (SELECT *, {_BEST_BLOCK} AS h FROM parts WHERE a <> '' AND b <> '') WHERE h IS NOT NULL)), "
+        f"matched AS (SELECT gram, name, sum(h.k) AS m FROM (SELECT *, {_BEST_BLOCK} AS h FROM parts WHERE a <> '' AND b <> '') WHERE h IS NOT NULL GROUP BY gram, name), "
+        "near AS (SELECT gram, kind, target FROM (SELECT *, 2.0::DOUBLE * m / (length(gram) + length(name)) AS ratio FROM matched JOIN names USING (name)) WHERE ratio >= 0.85::DOUBLE "
+        "QUALIFY row_number() OVER (PARTITION BY gram, kind ORDER BY ratio DESC, name DESC) = 1), "
+        f"found AS (SELECT {ids}, arg_min(target, seq) FILTER (WHERE kind = 'place') AS place_like, arg_min(target, seq) FILTER (WHERE kind = 'region') AS region_like FROM grams JOIN near USING (gram) GROUP BY {ids}), "
+        f"named AS (SELECT {ids}, arg_min(target, rank) FILTER (WHERE kind = 'place') AS place, arg_min(target, rank) FILTER (WHERE kind = 'region') AS region FROM grams JOIN exact ON gram = name GROUP BY {ids}) "
+        f"SELECT {ids}, place, region, place_like, region_like FROM w LEFT JOIN named USING ({ids}) LEFT JOIN found USING ({ids})"
+    )
+
+
 ORACLES = {
+    "document_names": _names_sql("documents", "doc_id"),
+    "conversation_names": _names_sql("conversations", "conv_id, turn"),
     "document_tags": _tag_sql("documents", "doc_id"),
     "conversation_tags": _tag_sql("conversations", "conv_id, turn"),
     "question_tags": _KNOWN + "SELECT id AS question_id, rejection, CASE WHEN k % 23 = 0 THEN 'rainfall' END AS topic FROM k",

@@ -1,20 +1,21 @@
 """A table of texts -> tagged texts -> a table of selections.
 
-Row-wise native expressions plus one broadcast join with the place dimension (about 120 rows). No shuffle.
+Row-wise native expressions plus one broadcast join with the place dimension (about 120 rows). Only texts without a known
+name are shuffled, as word groups, to look for misspelt ones.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohaline.functions import text as tx
 from isohaline.functions.geo import in_envelope
+from isohaline.operators.names import fuzzy_names, ngrams, spoken
 from isohaline.plans.report import short_number
+from isohaline.session import broadcast_if_small, written
 from isohaline.vocabulary import ALIASES, PLACES, REGION_NAME_ORDER, REGIONS
 
 _PLACES = {name: (label, lat, lon) for name, lat, lon, label in PLACES}
@@ -22,15 +23,8 @@ _REGIONS = {r[5]: r for r in REGIONS}
 _ALIAS = dict(ALIASES)
 
 
-def _spoken(name: str) -> str:
-    """A name as bare words, the form in which it is looked up in texts."""
-    import re
-
-    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", name.casefold())).strip()
-
-
 def _by_length(names) -> list[str]:
-    return sorted(names, key=lambda n: len(_spoken(n)), reverse=True)
+    return sorted(names, key=lambda n: len(spoken(n)), reverse=True)
 
 
 def place_dimension(spark) -> DataFrame:
@@ -49,23 +43,13 @@ def place_dimension(spark) -> DataFrame:
 
 
 # -- names -----------------------------------------------------------------------------------------
-def ngrams(words: Column, sizes=(1, 2, 3)) -> Column:
-    """Distinct word groups of a word array."""
-    def of(size: int):
-        starts = F.sequence(F.lit(1), F.size(words) - (size - 1))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
-        return F.when(F.size(words) >= size, grams).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[of(s) for s in sizes]))
-
-
 def _first_hit(grams: Column, names: list[str], result: dict[str, str]) -> Column:
     """First of ``names`` (longest first) among the word groups, mapped to its result."""
-    spoken = F.array(*[F.lit(_spoken(n)) for n in names])
-    hit = F.get(F.array_intersect(spoken, grams), F.lit(0))
+    listed = F.array(*[F.lit(spoken(n)) for n in names])
+    hit = F.get(F.array_intersect(listed, grams), F.lit(0))
     answers: dict[str, str] = {}
     for n in names:
-        answers.setdefault(_spoken(n), result[n])
+        answers.setdefault(spoken(n), result[n])
     pairs = [F.lit(x) for kv in answers.items() for x in kv]
     return F.element_at(F.create_map(*pairs), hit)
 
@@ -77,77 +61,10 @@ def match_names(grams: Column, names: list[str]) -> Column:
     return F.coalesce(strict, _first_hit(grams, aliases, _ALIAS))
 
 
-def _fuzzy_names():
-    """Closest place and region name of texts whose names are misspelt, similarity at least 0.85.
-
-    Candidate pairs are screened with array arithmetic (length and letter-set bounds, which never drop a true
-    match); only the few survivors are compared exactly.
-    """
-    tables = [(_names_once(_PLACES), 0), (_names_once(REGION_NAME_ORDER), 1)]
-
-    @F.pandas_udf("place string, region string")
-    def nearest(bare: pd.Series) -> pd.DataFrame:
-        import difflib
-
-        import numpy as np
-
-        def letters(s: str) -> int:
-            bits = 0
-            for ch in s:
-                bits |= 1 << (ord(ch) % 64)
-            return bits
-
-        def screen(spoken):
-            return np.array([letters(c) for c in spoken], dtype=np.uint64), np.array([len(c) for c in spoken])
-
-        choices = [(list(table), table, *screen(list(table))) for table, _ in tables]
-
-        def tokens(text):
-            words = text.split()
-            for size in range(min(3, len(words)), 0, -1):
-                for i in range(len(words) - size + 1):
-                    token = " ".join(words[i : i + size])
-                    if len(token) > 4:
-                        yield token
-
-        def find(toks, masks, lengths, choice):
-            spoken, table, c_masks, c_lengths = choice
-            total = lengths[:, None] + c_lengths[None, :]
-            apart = np.bitwise_count(masks[:, None] ^ c_masks[None, :])
-            close = (2 * np.minimum(lengths[:, None], c_lengths[None, :]) >= 0.85 * total - 1e-9) & (apart <= 0.15 * total + 1e-9)
-            for i in np.flatnonzero(close.any(axis=1)):
-                near = [spoken[j] for j in np.flatnonzero(close[i])]
-                best = difflib.get_close_matches(toks[i], near, n=1, cutoff=0.85)
-                if best:
-                    return table[best[0]]
-            return None
-
-        def one(text):
-            if text is None:
-                return None, None
-            toks = list(tokens(text))
-            if not toks:
-                return None, None
-            masks, lengths = screen(toks)
-            found = []
-            for choice in choices:
-                hit = None
-                for a in range(0, len(toks), 4096):
-                    hit = find(toks[a : a + 4096], masks[a : a + 4096], lengths[a : a + 4096], choice)
-                    if hit:
-                        break
-                found.append(hit)
-            return tuple(found)
-
-        return pd.DataFrame([one(t) for t in bare], columns=["place", "region"])
-
-    return nearest
-
-
 def _names_once(names) -> dict[str, str]:
     out: dict[str, str] = {}
     for n in names:
-        out.setdefault(_spoken(n), _ALIAS.get(n, n))
+        out.setdefault(spoken(n), _ALIAS.get(n, n))
     return out
 
 
@@ -172,25 +89,23 @@ def locate(tagged: DataFrame, fuzzy: bool = True) -> DataFrame:
     decimals = F.greatest(*[F.length(F.substring_index(F.concat(c, F.lit(".")), ".", 2)) - F.length(F.substring_index(c, ".", 1)) - 1 for c in (F.col("_n1"), F.col("_n3"))])
     out = tagged.withColumns({**{f"_n{i}": c for i, c in number.items()}, "_point": q.rlike(tx.POINT_WORDS), "_bare": tx.bare_words(q)})
     out = out.withColumns({"_lat": lat, "_lon": lon, "_precision": F.least(F.lit(4), decimals)})
-    grams = ngrams(F.split("_bare", " "))
-    out = out.withColumn("_grams", grams)
+    out = out.withColumn("_words", F.split("_bare", " ")).withColumn("_grams", ngrams(F.col("_words")))
     out = out.withColumns(
         {
             "_place": match_names(F.col("_grams"), list(_PLACES)),
             "_region": match_names(F.col("_grams"), REGION_NAME_ORDER),
         }
-    ).drop("_grams")
+    ).drop("_grams", "_words")
     if fuzzy:
         settled = F.col("_lat").isNotNull() | F.when(F.col("_point"), F.col("_place").isNotNull()).otherwise(F.col("_region").isNotNull())
-        # The one-element explode keeps the optimizer from inlining all earlier steps into the UDF's input.
-        out = out.withColumn("_ask", F.explode(F.array(F.when(~settled, F.col("_bare")))))
-        out = out.withColumn("_fuzzy", _fuzzy_names()("_ask"))
-        out = out.withColumns(
-            {
-                "_place": F.coalesce("_place", "_fuzzy.place"),
-                "_region": F.coalesce("_region", "_fuzzy.region"),
-            }
-        ).drop("_fuzzy", "_ask")
+        # Written once: the word groups are taken from it, and the row numbers hold.
+        out = out.withColumns({"_ask": F.when(~settled, F.col("_bare")), "_row": F.monotonically_increasing_id()})
+        out = written(out, "located")
+        kinds = {"place": _names_once(_PLACES), "region": _names_once(REGION_NAME_ORDER)}
+        found = written(fuzzy_names(out, "_row", "_ask", kinds), "misspelt").withColumnsRenamed({k: f"_fuzzy_{k}" for k in kinds})
+        out = out.join(broadcast_if_small(found)[0], "_row", "left")
+        out = out.withColumns({f"_{k}": F.coalesce(f"_{k}", f"_fuzzy_{k}") for k in kinds})
+        out = out.drop("_row", "_ask", *[f"_fuzzy_{k}" for k in kinds])
     name = F.when(F.col("_point") & F.col("_place").isNotNull(), F.col("_place")).otherwise(F.coalesce("_region", "_place"))
     out = out.withColumn("_name", F.when(F.col("_lat").isNull(), name))
     dim = place_dimension(tagged.sparkSession)

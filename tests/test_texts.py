@@ -84,10 +84,9 @@ def test_accepted_questions_become_selections(spark, read):
 
 
 def test_radius_words_and_precision(spark):
-    df = spark.createDataFrame(
-        [("temperature near Mumbai within 50 km in 2024",), ("temperature 300 km around Goa",), ("temperature at 10.1234N 70.5E in 2024",)], "text string"
-    )
-    rows = questions.annotate_questions(df, "text", TODAY).collect()
+    texts = ["temperature near Mumbai within 50 km in 2024", "temperature 300 km around Goa", "temperature at 10.1234N 70.5E in 2024"]
+    read = by(questions.annotate_questions(spark.createDataFrame([(t,) for t in texts], "text string"), "text", TODAY).collect(), "text")
+    rows = [read[t] for t in texts]
     assert [(r.radius_km, r.radius_explicit, r.coordinate_precision) for r in rows] == [(50.0, True, 2), (300.0, True, 2), (300.0, False, 4)]
 
 
