@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixture import OBS, SEL, observations, selections, table
 from catalog.sqlparts import BATCH, BATCH_FACTS, BIN, DIST, LONG, ROWS, WHEN, box, dist, facts, with_
-from isohaline.operators import ingest, lineage, profiles, quality, selection
+from isohaline.operators import ingest, levels, lineage, profiles, quality, selection
 from isohaline.operators.climatology import tag_regions
 from isohaline.operators.quality import judged_both
 from isohaline.vocabulary import TRACE_LIMIT
@@ -164,6 +164,10 @@ def float_positions(spark, sf_dir):
     return out.select("selection_id", "parameter", "platform_number", r6("latitude"), r6("longitude"), "profile_count")
 
 
+def batch_levels(spark, sf_dir):
+    return levels.selected_levels(observations(spark, sf_dir), selections(spark, sf_dir))
+
+
 def _traced(spark, sf_dir):
     return lineage.traced_rows(judged(spark, sf_dir), batch_facts(spark, sf_dir), selections(spark, sf_dir))
 
@@ -183,7 +187,7 @@ def trace_months(spark, sf_dir):
 
 def trace(spark, sf_dir):
     """The sample that an evidence panel shows: first 25 of each list."""
-    out = lineage.trace_sample(_traced(spark, sf_dir), TRACE_LIMIT)
+    out = levels.trace(batch_levels(spark, sf_dir), TRACE_LIMIT)
     lists = {c: F.concat_ws(",", c) for c in ("profile_ids", "float_ids", "source_records")}
     return out.withColumns(lists)
 
@@ -275,7 +279,7 @@ _VIOLATIONS = [
 TRACED = (
     "traced AS (SELECT j.selection_id, j.parameter, s.query_type AS view, j.profile_id, j.platform_number, "
     "CASE WHEN (s.query_type = 'regional_average' AND f.upper_100_value IS NOT NULL) OR (s.query_type = 'time_series' AND "
-    "CASE WHEN j.parameter = 'shallow_sst_proxy' THEN f.shallow_value ELSE f.full_value END IS NOT NULL) THEN strftime(j.time, '%Y-%m') END AS month, "
+    "CASE WHEN j.parameter = 'shallow_sst_proxy' THEN f.shallow_value ELSE f.full_value END IS NOT NULL) THEN strftime(f.time, '%Y-%m') END AS month, "
     f"CASE WHEN s.query_type = 'profile' AND j.pres BETWEEN 0 AND 500 THEN CAST({BIN} AS INT) END AS bin_no, j._source_file, j.source_row "
     "FROM judged j JOIN sel s ON s.selection_id = j.selection_id "
     "JOIN facts f ON f.selection_id = j.selection_id AND f.parameter = j.parameter AND f.profile_id = j.profile_id "

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.fixture import observations, table
-from catalog.selecting import _global_facts, batch_facts, judged, r6
+from catalog.selecting import _global_facts, batch_facts, batch_levels, judged, r6
 from catalog.sqlparts import BATCH, BATCH_FACTS, BIN, LABEL, LONG, MID, facts, with_
 from isohaline.functions.measures import bin_label, bin_mid, depth_bin, seawater_density, unit_of
-from isohaline.operators import binning, quality, supplementary, views
+from isohaline.operators import binning, levels, quality, supplementary, views
 from isohaline.operators.quality import judged_both
 from isohaline.plans import report
 
@@ -79,7 +79,7 @@ def seawater(spark, sf_dir):
 
 
 def ts_pairs(spark, sf_dir):
-    out = supplementary.ts_pairs(judged(spark, sf_dir))
+    out = levels.ts_pairs(batch_levels(spark, sf_dir))
     return out.select(
         "selection_id", "parameter", "profile_id", "source_row", "pres", r6("temp_adjusted"), r6("psal_adjusted"),
         "profile_count", "float_count", "pair_count",
@@ -87,12 +87,12 @@ def ts_pairs(spark, sf_dir):
 
 
 def density_profile(spark, sf_dir):
-    out = supplementary.density_profile(judged(spark, sf_dir))
+    out = levels.density_profile(batch_levels(spark, sf_dir))
     return out.select("selection_id", "parameter", "depth_bin", "depth_mid", r6("density"), "n_values")
 
 
 def heat_content(spark, sf_dir):
-    out = supplementary.heat_content(judged(spark, sf_dir))
+    out = levels.heat_content(batch_levels(spark, sf_dir))
     return out.withColumn("value_mj_per_m2", F.round("value_mj_per_m2", 5))
 
 
@@ -111,7 +111,7 @@ def month_depth_grid(spark, sf_dir):
 
 
 def month_depth_grid_batch(spark, sf_dir):
-    out = supplementary.month_depth_grid(judged(spark, sf_dir))
+    out = levels.month_depth_grid(batch_levels(spark, sf_dir))
     return out.select("selection_id", "parameter", "month", "depth_bin", r6("value"))
 
 

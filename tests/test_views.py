@@ -142,6 +142,12 @@ def test_trace_is_cut_and_sorted_by_row_number(spark):
     assert got.source_records[10] == "a.csv:10" and got.float_ids == ["1"]
 
 
+def test_a_profile_over_the_end_of_a_month_stays_in_the_month_of_its_first_row(spark):
+    rows = [obs_row("1", "1", "2024-07-31", pres=5.0, row=1), obs_row("1", "1", "2024-08-01", pres=60.0, row=2)]
+    for view in ("time_series", "regional_average"):
+        assert {r.month for r in traced(spark, rows, view).collect()} == {"2024-07"}
+
+
 @pytest.mark.parametrize(
     ("z", "label"),
     [(1.49, "normal"), (1.5, "mild_positive"), (2.49, "mild_positive"), (2.5, "strong_positive"), (-1.5, "mild_negative"), (-2.5, "strong_negative")],
