@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohaline.llm.common import fold, travels
@@ -21,8 +21,9 @@ from isohaline.llm.common import fold, travels
 SPAN = 128  # bytes of a window
 HIDDEN = 12  # units per direction
 BLOCK = 896  # windows scored in lockstep; products of this size stay in one thread of the linear algebra library
-DOCS_PER_LANGUAGE = 1500  # documents that training may use per language, chosen by a hash of the id and text
-WINDOWS_PER_DOC = 3  # windows of each, spread evenly over the whole text
+DOCS_PER_LANGUAGE = 400  # distinct texts that training uses per language, the first by hash, each with all its windows
+BYTES_PER_LANGUAGE = 8_000_000  # and at most so many bytes of them
+MAX_LANGUAGES = 10_000  # counts per language that are broadcast
 STEPS, BATCH, RATE = 120, 192, 0.02
 UNKNOWN = "und"
 
@@ -176,39 +177,33 @@ def train(windows: np.ndarray, used: np.ndarray, labels: np.ndarray, languages:
 
 
 def fit(docs: DataFrame, steps: int = STEPS) -> Model:
-    """Learns from rows with text and lang; the caller leaves held-out rows out of ``docs``."""
-    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != "")).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(counts)
+    """Learns from rows with text and lang; the caller leaves held-out rows out of ``docs``.
+
+    The sample is drawn from distinct texts, so copies of a text, however many, count once. A language of which no text fits
+    the bounds is not learned.
+    """
+    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != "")).select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    rate = F.least(F.lit(1.0), F.lit(2.0 * DOCS_PER_LANGUAGE) / F.col("n"))  # twice as many, of which the first are used
+    drawn = known.join(F.broadcast(counts), "lang") if counts.limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES else known.join(counts, "lang")
+    drawn = drawn.filter(F.pmod("h", F.lit(1_000_000)) < rate * 1_000_000).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "h")
+    first = drawn.withColumns({"at": F.row_number().over(order), "upto": F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    first = first.filter((F.col("at") <= DOCS_PER_LANGUAGE) & (F.col("upto") <= BYTES_PER_LANGUAGE))
+    rows = sorted((r["lang"], r["text"]) for r in first.select("lang", "text").collect())
+    languages = sorted({lang for lang, _ in rows})
     if not languages:
         rng = np.random.default_rng(0)
         return Model([], Reader(rng), Reader(rng), np.zeros((2 * HIDDEN, 0), np.float32), np.zeros(0, np.float32))
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, DOCS_PER_LANGUAGE / n))).otherwise(rate)
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-
-    def cut(batches):
-        for b in batches:
-            out = []
-            for text, lang in zip(b["text"], b["lang"]):
-                raw = text.encode("utf-8", "replace")
-                n = -(-len(raw) // SPAN)
-                picks = sorted({(2 * k + 1) * n // (2 * WINDOWS_PER_DOC) for k in range(WINDOWS_PER_DOC)})
-                out += [(lang, raw[k * SPAN : (k + 1) * SPAN]) for k in picks if k < n]
-            yield pd.DataFrame(out, columns=["lang", "raw"])
-
-    rows = known.filter(draw < rate * 1_000_000).mapInPandas(cut, "lang string, raw binary").collect()
-    rows = sorted((r["lang"], bytes(r["raw"])) for r in rows)
-    data, used, _ = windows_of([raw for _, raw in rows])
-    return train(data, used, np.array([languages.index(lang) for lang, _ in rows]), languages, steps)
+    data, used, owner = windows_of([text.encode("utf-8", "replace") for _, text in rows])
+    return train(data, used, np.array([languages.index(lang) for lang, _ in rows])[owner], languages, steps)
 
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for every row.
 
     ``und`` with score 0 where the text is null, has no letter (Unicode category L), or nothing was learned. Whole texts
-    are read whatever their length; repeated rows and null ids give a row each.
+    are read whatever their length; repeated rows and null ids give a row each, an empty table none.
     """
 
     def run(batches):

@@ -59,3 +59,11 @@ def test_odd_rows_and_tables(spark):
     nothing = fit(docs.filter("lang is null"), steps=3)
     assert {r.lang_pred for r in detect(docs, nothing).collect()} == {"und"}
     assert detect(docs.limit(0), model).count() == 0
+
+
+def test_one_text_repeated_counts_once(spark):
+    rows = [(i, "immer derselbe Satz", "de") for i in range(3000)] + [(5000 + i, f"the {i} cats and dogs", "en") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs, steps=40)
+    assert model.languages == ["de", "en"]
+    assert {r.lang_pred for r in detect(docs.filter("lang = 'de'").limit(3), model).collect()} == {"de"}
