@@ -17,13 +17,17 @@ from isohaline.llm.common import word_count
 from isohaline.llm.linededup import dedup_lines
 from isohaline.llm.mixing import mix
 from isohaline.llm.neardup import near_duplicates
-from isohaline.session import checkpoint_dir
+from isohaline.session import checkpoint_dir, written
 
 ORACLE_SQL = None
+SHINGLE = 2  # words of a shingle in near-duplicate detection
 
 
 def good_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
+    """Documents that the quality classifier, fitted on the labelled ones among them, does not reject.
+
+    Every row is scored by its text, null and empty ones too; rows without id are never labelled. Extra columns pass through.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     score = quality.scorer(quality.fit(docs, quality.training_labels(labels)))
     return docs.filter(score("text") >= quality.THRESHOLD)
@@ -37,13 +41,25 @@ def distinct_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id."""
-    copies = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate group, by rows: the one with the smallest id, a missing id coming last.
+
+    Groups are those of the operator at the two-word shingles of its own query. Rows that share an id, or have none, are
+    documents of their own here, so copies among them go as well. Null and blank texts are in no group and stay; an empty
+    table stays empty. Extra columns pass through.
+    """
+    numbered = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), k=SHINGLE)
+    ids = numbered.select("number", F.col("row.doc_id").alias("doc_id"))
+    member = groups.select(F.col("doc_id").alias("number"), "component_id").join(ids, "number")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "number"))["number"].alias("number"))
+    return numbered.join(written(first.select("number"), "first"), "number", "left_semi").select("row.*")
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none to three rows each."""
+    """Documents as often as the mix takes them: none to three rows each.
+
+    Rows without words are never taken, so null and empty texts go. Rows equal in id, source and size are taken alike.
+    """
     used = mix(docs).select("doc_id", "source", "size", "copies").distinct().filter("copies > 0").alias("m")
     d = docs.withColumn("_size", word_count(F.col("text"))).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d._size") == F.col("m.size"))
@@ -52,7 +68,7 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, pieces, round_trip."""
+    """doc_id, n_pieces, pieces, round_trip of every row; null and empty texts have no pieces."""
     return pieces.encode(docs)
 
 
