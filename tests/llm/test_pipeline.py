@@ -66,6 +66,13 @@ def expected_mix(rows, words):
     return taken
 
 
+def first_of_groups(rows):
+    """One row of each near-duplicate group, by comparing all rows: the smallest id, rows without id last."""
+    order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0))
+    roots = brute_near([(k, rows[n][1]) for k, n in enumerate(order)], corpus_pipeline.SHINGLE, 80)
+    return [rows[n] for k, n in enumerate(order) if roots[k] == k]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
@@ -99,8 +106,7 @@ def test_every_stage_against_brute_force(spark, folder):
     lines = stages["lines"](spark, spark.createDataFrame(got, COLUMNS), folder)
     assert rows_of(lines) == sorted(want, key=str)
 
-    roots = brute_near([(r[0], r[1]) for r in want], 5, 80)
-    want = [r for r in want if r[0] is None or roots[r[0]] == r[0]]
+    want = first_of_groups(want)
     near = stages["near_duplicates"](spark, spark.createDataFrame(rows_of(lines), COLUMNS), folder)
     assert rows_of(near) == sorted(want, key=str)
 
@@ -125,3 +131,18 @@ def test_empty_documents(spark, folder, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_copies_go_by_rows_whatever_their_ids(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(5, text), (5, text), (5, text + " more"), (None, text), (None, text), (None, "alone without id"), (9, text), (7, None), (7, None), (8, ""), (6, "another text of a few words"), (6, "nothing like it at all here")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], COLUMNS).withColumns({"number": F.lit(1), "row": F.lit("r"), "component_id": F.lit(2), "kept": F.lit(False)})
+    out = corpus_pipeline.distinct_documents(spark, docs, None)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    left = [r for r in got if r[1] is None or not r[1].startswith("word0")]
+    assert len(got) - len(left) == 1 and {r[0] for r in got if r not in left} == {5}
+    assert left == sorted([(None, "alone without id"), (7, None), (7, None), (8, ""), (6, rows[10][1]), (6, rows[11][1])], key=str)
+    assert corpus_pipeline.distinct_documents(spark, docs.limit(0), None).count() == 0
