@@ -15,11 +15,14 @@ MISSING_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
 
 
 def read_exports(spark: SparkSession, glob: str) -> DataFrame:
-    """All matching exports as text, without units rows, with file name and physical row number.
+    """All matching exports as text, without units rows, with file name and record number (the header is 1).
 
     Files are split freely and no row is shuffled: ids are consecutive within a split, so a row's place is its id
     less the first id of the split, plus the rows of the splits before it. Files are told apart by their whole path.
+    Only files in which a line leaves a quote open, as a quoted line break does, go through ``read_broken_lines``.
     """
+    lines = _lines(spark, glob)
+    broken = written(lines.where(_quotes(F.col("value")) % 2 == 1).select("_path").distinct(), "open-quotes")
     raw = (
         spark.read.schema(RAW_EXPORT)
         .option("header", True)
@@ -35,9 +38,61 @@ def read_exports(spark: SparkSession, glob: str) -> DataFrame:
             }
         )
     )
+    some = not broken.isEmpty()
+    if some:
+        broken, _ = broadcast_if_small(broken)
+    rows = with_row_numbers(raw.join(broken, "_path", "left_anti") if some else raw)
+    if some:
+        rows = rows.unionByName(read_broken_lines(lines.join(broken, "_path", "left_semi")))
     missing = {c: F.when(~F.col(c).isin(*MISSING_WORDS), F.col(c)) for c in EXPORT_COLUMNS}
     # Row 2 of a file is its units row.
-    return with_row_numbers(raw).where(F.col("source_row") > 2).withColumns(missing)
+    return rows.where(F.col("source_row") > 2).withColumns(missing)
+
+
+def _lines(spark: SparkSession, glob: str) -> DataFrame:
+    return spark.read.text(glob).select(
+        "value",
+        F.col("_metadata.file_name").alias("_source_file"),
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_pos"),
+    )
+
+
+def _quotes(text: Column) -> Column:
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit('"'), F.lit("")))
+
+
+def read_broken_lines(lines: DataFrame) -> DataFrame:
+    """Records of files whose quoted fields hold line breaks, with their number.
+
+    A line starts a record if the quotes before it are even in number. That parity runs over the splits of a file by one small
+    row per split, and inside a split over its own lines, so files stay splittable. A file that ends inside a quote is
+    refused.
+    """
+    lines = lines.withColumn("_odd", _quotes(F.col("value")) % 2)
+    split = ["_path", "_block"]
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    parity = lines.groupBy(*split).agg((F.sum("_odd") % 2).alias("_parity"))
+    parity = written(parity.withColumn("_before", F.coalesce(F.sum("_parity").over(before), F.lit(0)) % 2), "parity")
+    unclosed = parity.groupBy("_path").agg((F.sum("_parity") % 2).alias("open")).where("open = 1").limit(1).collect()
+    if unclosed:
+        raise ContractError(f"{unclosed[0]['_path']}: a quote is not closed")
+    inside = Window.partitionBy(*split).orderBy("_pos")
+    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    marked = lines.join(parity.select(*split, "_before"), split)
+    marked = marked.withColumn("_start", (F.coalesce(F.sum("_odd").over(upto), F.lit(0)) + F.col("_before")) % 2 == 0)
+    marked = marked.where(~F.col("_start") | (F.col("value") != ""))  # blank lines between records are none
+    marked = marked.withColumn("_nth", F.sum(F.col("_start").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = written(marked, "marked")
+    starts = marked.groupBy(*split).agg(F.count_if("_start").alias("_n"))
+    starts = starts.select(*split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = marked.join(starts, split).withColumn("source_row", F.col("_offset") + F.col("_nth"))
+    whole = placed.groupBy("_path", "_source_file", "source_row").agg(F.array_sort(F.collect_list(F.struct("_block", "_pos", "value"))).alias("l"))
+    record = F.array_join(F.transform("l", lambda x: x["value"]), "\n")
+    ddl = ", ".join(f"{c} string" for c in EXPORT_COLUMNS)
+    parsed = whole.where(F.col("source_row") > 1).select("_source_file", "source_row", F.from_csv(record, ddl, {"escape": '"', "mode": "PERMISSIVE"}).alias("f"))
+    return parsed.select(*[F.col(f"f.{c}") for c in EXPORT_COLUMNS], "_source_file", F.col("source_row").cast("bigint"))
 
 
 def with_row_numbers(lines: DataFrame) -> DataFrame:
@@ -54,23 +109,18 @@ def with_row_numbers(lines: DataFrame) -> DataFrame:
 
 
 def check_header(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per export: does it start with the sixteen columns and a units row with UTC third?
+    """One row per export, told apart by its whole path: does it start with the sixteen columns and a units row with UTC third?
 
     Reads the files as text lines; only the line at the start of a file can be its header, so each file
     contributes two candidate lines.
     """
-    lines = spark.read.text(glob).select(
-        F.col("_metadata.file_name").alias("_source_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_pos"),
-        "value",
-    )
-    first = Window.partitionBy("_source_file").orderBy("_pos")
+    first = Window.partitionBy("_path").orderBy("_pos")
     head = (
-        lines.where(F.col("_block") == 0)
+        _lines(spark, glob)
+        .where(F.col("_block") == 0)
         .withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") <= 2)
-        .groupBy("_source_file")
+        .groupBy("_path", "_source_file")
         .agg(
             F.max(F.when(F.col("_rank") == 1, F.col("value"))).alias("header"),
             F.max(F.when(F.col("_rank") == 2, F.col("value"))).alias("units"),
@@ -79,6 +129,7 @@ def check_header(spark: SparkSession, glob: str) -> DataFrame:
     units = F.split("units", ",", -1)
     return head.select(
         "_source_file",
+        F.col("_path").alias("path"),
         (F.col("header") == ",".join(EXPORT_COLUMNS)).alias("header_ok"),
         F.coalesce((F.size(units) == len(EXPORT_COLUMNS)) & (F.get(units, F.lit(2)) == "UTC"), F.lit(False)).alias("units_ok"),
     )
@@ -87,7 +138,7 @@ def check_header(spark: SparkSession, glob: str) -> DataFrame:
 def require_headers(spark: SparkSession, glob: str) -> None:
     bad = check_header(spark, glob).where(~(F.col("header_ok") & F.col("units_ok"))).limit(1).collect()
     if bad:
-        raise ContractError(f"{bad[0]['_source_file']}: header or units row does not match the frozen schema")
+        raise ContractError(f"{bad[0]['path']}: header or units row does not match the frozen schema")
 
 
 def file_digests(spark: SparkSession, glob: str) -> DataFrame:

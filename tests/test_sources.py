@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import random
 
 import pytest
 
@@ -30,6 +31,49 @@ def test_quoted_fields_and_equal_names_in_two_folders(spark, tmp_path):
     assert [r.platform_number for r in back] == ['19,"02"'] * 2 and {r.source_row for r in back} == {3, 4}
 
 
+def test_quoted_line_breaks_survive_file_splits(spark, tmp_path):
+    import csv
+    import io
+
+    rng = random.Random(7)
+    want = []
+    for name, n in (("a.csv", 400), ("b.csv", 60), ("plain.csv", 30)):
+        out = io.StringIO()
+        out.write(",".join(EXPORT_COLUMNS) + "\n" + UNITS + "\n")
+        for i in range(n):
+            odd = "" if name == "plain.csv" else rng.choice(["", "", "\n", '\n"\n', 'x"y', "\n\n,1"])
+            platform = f"p{i}{odd}z"
+            csv.writer(out, lineterminator="\n").writerow([platform, *line(i).split(",")[1:]])
+            want.append((name, platform, i + 3))
+        (tmp_path / name).write_text(out.getvalue())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = exports.read_exports(spark, f"{tmp_path}/*.csv").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r._source_file, r.platform_number, r.source_row) for r in rows) == sorted(want)
+    odd = exports.read_exports(spark, f"{tmp_path}/plain.csv").limit(3).withColumn("platform_number", F.lit('a\nb,"c"\n'))
+    exports.write_exports(odd, f"{tmp_path}/out")
+    assert [r.platform_number for r in exports.read_exports(spark, f"{tmp_path}/out").collect()] == ['a\nb,"c"\n'] * 3
+
+
+def test_an_open_quote_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(export_text([line(1), '"never closed']))
+    with pytest.raises(ContractError, match="a.csv"):
+        exports.read_exports(spark, str(tmp_path / "a.csv"))
+
+
+def test_bad_header_in_a_second_folder_is_seen(spark, tmp_path):
+    for folder, text in (("x", export_text([line(1)])), ("y", export_text([line(1)]).replace("UTC", "local"))):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.csv").write_text(text)
+    with pytest.raises(ContractError, match="y/a.csv"):
+        exports.require_headers(spark, f"{tmp_path}/*")
+    assert exports.check_header(spark, f"{tmp_path}/*").count() == 2
+
+
 def export_text(rows):
     return "\n".join([",".join(EXPORT_COLUMNS), UNITS, *rows]) + "\n"
 
