@@ -31,7 +31,7 @@ from isohaline.operators.supplementary import (
     year_over_year,
 )
 from isohaline.operators.views import both_monthly_means, depth_profile, representative_values
-from isohaline.plans.report import SHALLOW_CAVEAT
+from isohaline.plans.report import LIVE_CAVEAT, SHALLOW_CAVEAT
 from isohaline.session import written
 from isohaline.vocabulary import FLOAT_POSITION_LIMIT, THRESHOLDS, TRACE_LIMIT
 
@@ -46,9 +46,12 @@ class Prepared:
     facts: DataFrame
 
 
-def prepare(obs: DataFrame, selections: DataFrame, keep: bool = True) -> Prepared:
+def prepare(obs: DataFrame, selections: DataFrame, keep: bool = True, secondary: DataFrame | None = None) -> Prepared:
     """Validate, resolve radii, select, judge and reduce to profile facts.
 
+    ``secondary`` holds observations of a second source. Dated point selections that match no row of ``obs``, not even after
+    widening, take the rows of ``secondary`` at the radius asked for; ``live_source_used`` of the selections tells which did.
+
     With ``keep`` the resolved selections are written out; the profile table always is. So the branches of an
     answer read two small tables instead of scanning the observations again.
     """
@@ -60,6 +63,16 @@ def prepare(obs: DataFrame, selections: DataFrame, keep: bool = True) -> Prepare
         resolved = written(resolved, "selections")
     judged = by_parameter(select_observations(obs, resolved))
     facts = selected_facts(obs, resolved)
+    if secondary is not None:
+        dated = F.col("date_from").isNotNull() & F.col("date_to").isNotNull()
+        empty = written(resolved.where((F.col("matched") == F.lit(False)) & dated), "without-rows")
+        more = selected_facts(secondary, empty)
+        filled = written(more.select("selection_id").distinct().withColumn("_filled", F.lit(True)), "filled")
+        resolved = resolved.join(filled, "selection_id", "left").withColumns({
+            "live_source_used": F.coalesce("_filled", F.lit(False)), "matched": F.coalesce("_filled", "matched"),
+        }).drop("_filled")
+        facts = facts.unionByName(more)
+        judged = judged.unionByName(by_parameter(select_observations(secondary, empty)), allowMissingColumns=True)
     rejected = checked.where(F.size("violations") > 0).select("selection_id", "violations")
     return Prepared(rejected, resolved, judged, facts)
 
@@ -103,12 +116,15 @@ def graded(prepared: Prepared, climatology: DataFrame, thresholds: dict = THRESH
     )
 
 
-def answer(obs: DataFrame, selections: DataFrame, climatology: DataFrame, thresholds: dict = THRESHOLDS, keep: bool = True):
+def answer(
+    obs: DataFrame, selections: DataFrame, climatology: DataFrame, thresholds: dict = THRESHOLDS, keep: bool = True, secondary: DataFrame | None = None
+) -> DataFrame:
     """One row per selection and parameter: status, value, score, grade and sufficiency.
 
-    Rejected selections appear once, with their violations.
+    Rejected selections appear once, with their violations. With a ``secondary`` source, live_source_used and
+    live_source_caveat tell where a value comes from.
     """
-    prepared = prepare(obs, selections, keep)
+    prepared = prepare(obs, selections, keep, secondary)
     return assemble(prepared, graded(prepared, climatology, thresholds))
 
 
@@ -125,7 +141,11 @@ def assemble(prepared: Prepared, rows: DataFrame) -> DataFrame:
     probe = no_data_probe(prepared.selections).select("selection_id", "nearest_available_km", "suggested_radius_km")
     out = rows.join(probe, "selection_id", "left").withColumn("violations", F.array().cast("array<string>"))
     rejected = prepared.rejected.withColumn("status", F.lit("rejected"))
-    return out.select(*ANSWER_COLUMNS).unionByName(rejected, allowMissingColumns=True)
+    columns = [*ANSWER_COLUMNS]
+    if "live_source_used" in out.columns:
+        out = out.withColumn("live_source_caveat", F.when(F.col("live_source_used"), LIVE_CAVEAT))
+        columns += ["live_source_used", "live_source_caveat"]
+    return out.select(*columns).unionByName(rejected, allowMissingColumns=True)
 
 
 def any_warning(rows: DataFrame) -> DataFrame:
