@@ -283,3 +283,15 @@ def test_parameter_lists(spark):
     got = [r[0] for r in df.select(sel_ops.normalise_parameters(F.col("p"))).collect()]
     assert got == [["temperature", "salinity"], ["salinity"], ["temperature"]]
 
+
+
+def test_second_source_fills_what_the_first_leaves_empty(spark):
+    first = obs_frame(spark, july(spark)).where("platform_number = '1'")
+    second = obs_frame(spark, july(spark)).withColumns({"latitude": F.col("latitude") - 40, "_source_file": F.lit("live.csv")})
+    sel = selections(spark, selection("ok"), selection("south", lat=-21.0), selection("nowhere", lat=-80.0), selection("bad", radius=5000.0))
+    out = plan.answer(first, sel, base_rows(spark), secondary=second)
+    got = by(out.collect(), "selection_id")
+    assert (got["ok"].status, got["ok"].live_source_used, got["ok"].live_source_caveat) == ("ok", False, None)
+    assert got["south"].status == "ok" and got["south"].live_source_used and got["south"].live_source_caveat and got["south"].valid_count == 12
+    assert got["nowhere"].status == "no_data" and not got["nowhere"].live_source_used and got["bad"].status == "rejected"
+    assert "live_source_used" not in plan.answer(first, sel, base_rows(spark)).columns
