@@ -112,15 +112,18 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated runs cut out of ``text``; adds _n_lines and _gone (line numbers removed).
 
     Null and empty texts stay as they are. Rows equal in doc_id and text are one document to the search and keep the
-    same lines; null ids sort last. All other columns pass through.
+    same lines; null ids sort last. An empty table stays empty. All other columns pass through, whatever their names, but
+    input columns named _n_lines or _gone give way to those of the result.
     """
     gone = later_copies(docs, min_words).alias("g")
-    d = docs.withColumn("_key", F.xxhash64("text")).alias("d")
-    both = d.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g._d")) & (F.col("d._key") == F.col("g._th")), "left")
+    names = [c for c in docs.columns if c not in ("_n_lines", "_gone")]
+    key = "_" + "".join(docs.columns)  # longer than any name of the input
+    d = docs.withColumn(key, F.xxhash64("text")).alias("d")
+    both = d.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g._d")) & (F.col(f"d.`{key}`") == F.col("g._th")), "left")
     lines = F.split(F.col("d.text"), "\n", -1)
     last = F.when(F.col("g.gone").isNotNull(), F.size(lines) - 1)
     kept = F.array_except(F.sequence(F.lit(0), last), F.col("g.gone"))
     cut = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
     text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(cut)
-    columns = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
+    columns = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in names]
     return both.select(*columns, F.size(lines).alias("_n_lines"), F.coalesce(F.col("g.gone"), F.array().cast("array<int>")).alias("_gone"))

@@ -87,7 +87,7 @@ def op13_sharding(spark, sf_dir):
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+         substr(md5(coalesce(text, '')), 1, 16) AS th, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || th)) AS k
   FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk
@@ -104,20 +104,20 @@ targets AS (
               ELSE CAST((total - coalesce(sum(cap) FILTER (WHERE is_full) OVER (), 0)) * w AS DOUBLE)
                    / CAST(sum(w) FILTER (WHERE NOT is_full) OVER () AS DOUBLE) END AS target
   FROM filled),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source, k, doc_id, size, th) AS nth FROM sized),
 queued AS (
-  SELECT s.doc_id, s.size, s.k, t.rnk, t.source_size, t.target, t.total,
-         CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size) AS BIGINT) AS cum
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+  SELECT s.doc_id, s.size, s.k, s.th, s.nth, t.rnk, t.source_size, t.target, t.total,
+         CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id NULLS FIRST, s.size, s.th, s.nth) AS BIGINT) AS cum
+  FROM numbered s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 copies AS (
   SELECT *, CAST(e * source_size + cum AS DOUBLE) / target AS finish
   FROM queued CROSS JOIN (VALUES (0), (1), (2)) AS epochs(e) WHERE size > 0),
 ordered AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, rnk, e, k, doc_id, size) AS upto FROM copies),
-used AS (
-  SELECT doc_id, k, rnk, size, count(*) // (count(*) // 3) AS c3, count(*) FILTER (WHERE upto <= total) * 3 // count(*) AS n
-  FROM ordered GROUP BY doc_id, k, rnk, size)
+  SELECT *, sum(size) OVER (ORDER BY finish, rnk, e, k, doc_id NULLS FIRST, size, th, nth) AS upto FROM copies),
+used AS (SELECT k, rnk, size, doc_id, th, nth, count(*) AS n FROM ordered WHERE upto <= total GROUP BY ALL)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(u.n, 0) * q.size AS BIGINT) AS taken
-FROM queued q LEFT JOIN used u ON u.k = q.k AND u.rnk = q.rnk AND u.size = q.size AND u.doc_id IS NOT DISTINCT FROM q.doc_id
+FROM queued q LEFT JOIN used u ON u.k = q.k AND u.rnk = q.rnk AND u.size = q.size AND u.th = q.th AND u.nth = q.nth
+  AND u.doc_id IS NOT DISTINCT FROM q.doc_id
 """
 
 LINES_SQL = """

@@ -53,3 +53,13 @@ def test_passages_and_odd_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_lines(docs).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    run = "\n".join(" ".join(f"w{i}_{k}" for k in range(12)) for i in range(6))
+    docs = spark.createDataFrame([(1, run), (2, run), (3, None)], "doc_id long, text string")
+    names = ("_key", "_d", "_th", "gone", "ln", "row", "hash")
+    out = dedup_lines(docs.withColumns({c: F.lit(c) for c in (*names, "_gone")})).orderBy("doc_id").collect()
+    assert [r.text for r in out] == [run, "", None]
+    assert all(r[c] == c for r in out for c in names)
+    assert [len(r["_gone"]) for r in out] == [0, 6, 0]

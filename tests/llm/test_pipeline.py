@@ -1,10 +1,10 @@
 import random
 import re
-from collections import Counter
 
 import pytest
 from sentencepiece import SentencePieceProcessor
 from test_linededup import brute as brute_lines
+from test_mixing import expected_mix
 from test_neardup import brute as brute_near
 
 import corpus_pipeline
@@ -30,42 +30,6 @@ def fixture():
     return rows + [(100, None, "en", "s1", None), (101, "", None, "s2", 0), (None, "no id here but some words", "en", "s3", 24)]
 
 
-def expected_mix(rows, words):
-    """Weighted fair queueing by one global sort."""
-    import hashlib
-
-    size = lambda t: len(words(t))
-    names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
-    totals = {s: sum(size(r[1]) for r in rows if r[3] == s) for s in names}
-    weight, total = {s: i % 3 + 1 for i, s in enumerate(names)}, sum(totals.values())
-    target, open_ = {}, set(names)
-    while True:
-        rest = total - sum(target.values())
-        share = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
-        over = {s for s in open_ if share[s] > 3 * totals[s]}
-        if not over:
-            target |= share
-            break
-        target |= {s: 3 * totals[s] for s in over}
-        open_ -= over
-    copies = []
-    for s in names:
-        queue = sorted((hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), k) for k, r in enumerate(rows) if r[3] == s)
-        sent = 0
-        for _ in range(3):
-            for key, k in queue:
-                sent += size(rows[k][1])
-                if size(rows[k][1]):
-                    copies.append((sent / target[s], names.index(s), sent, k))
-    taken, used = Counter(), 0
-    for _, _, _, k in sorted(copies):
-        used += size(rows[k][1])
-        if used > total:
-            break
-        taken[k] += 1
-    return taken
-
-
 def first_of_groups(rows):
     """One row of each near-duplicate group, by comparing all rows: the smallest id, rows without id last."""
     order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0))
