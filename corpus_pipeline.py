@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohaline.llm import pieces, quality
-from isohaline.llm.common import word_count
 from isohaline.llm.linededup import dedup_lines
-from isohaline.llm.mixing import mix
+from isohaline.llm.mixing import taken_rows
 from isohaline.llm.neardup import near_duplicates
 from isohaline.session import checkpoint_dir, written
 
@@ -34,10 +33,17 @@ def good_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are cut out; a document goes if no word of it is left."""
-    cut = dedup_lines(docs)
+    """Later copies of repeated line runs are cut out; a document goes if no word of it is left.
+
+    Null and blank texts have no lines to cut and stay; rows equal in id and text lose the same lines. An empty table
+    stays empty. Extra columns pass through, whatever their names.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    cut = dedup_lines(docs.select("doc_id", "text", rest))
     kept = cut.filter((F.size("_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.withColumn("n_chars", F.when(F.size("_gone") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+    length = F.when(F.size("_gone") > 0, F.char_length("text")).otherwise(F.col("rest.n_chars"))
+    changed = {"text": F.col("text"), "n_chars": length.alias("n_chars")}
+    return kept.select(*[changed[c] if c in changed else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def distinct_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +64,10 @@ def distinct_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none to three rows each.
 
-    Rows without words are never taken, so null and empty texts go. Rows equal in id, source and size are taken alike.
+    Rows without words are never taken, so null and empty texts go; an empty table stays empty. Every row has a place of
+    its own in the mix, rows equal in id, source and text too. Extra columns pass through, whatever their names.
     """
-    used = mix(docs).select("doc_id", "source", "size", "copies").distinct().filter("copies > 0").alias("m")
-    d = docs.withColumn("_size", word_count(F.col("text"))).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d._size") == F.col("m.size"))
-    rows = d.join(used, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m.copies"))))
-    return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    return taken_rows(docs)
 
 
 def encoded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
