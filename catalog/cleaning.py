@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.fixture import OBS, observations
-from catalog.sqlparts import with_
-from isohaline.operators import ingest
+from catalog.fixture import OBS, SEL, observations, selections
+from catalog.sqlparts import ROWS, with_
+from isohaline.operators import ingest, selection
 from isohaline.session import checkpoint_dir
 from isohaline.sources import exports, manifest, observations as store
 
@@ -168,6 +168,23 @@ def source_audit(spark, sf_dir):
     return audit.agg(F.sum("input_rows").alias("input_rows"), F.bool_and(whole).alias("digests"), F.count_if(F.col("origin") == "first writer").alias("first_files"))
 
 
+def store_roundtrip(spark, sf_dir):
+    """Observations written in curve order, then read for the table of selections: its rows, and whether files were spared."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    chosen = selections(spark, sf_dir)
+    store.write_observations(observations(spark, sf_dir), path)
+    stored = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
+    files = lambda df: df.select("file").distinct().agg(F.count("*").alias("n"))
+    spared = files(stored).crossJoin(files(store.in_searched_cells(stored, chosen, widen=False)).withColumnRenamed("n", "read"))
+    near = store.read_selected(spark, path, chosen, widen=False)
+    rows = selection.select_observations(near, chosen).groupBy("selection_id").agg(
+        F.count("*").alias("n_rows"), F.round(F.sum("distance_km"), 3).alias("sum_km"), F.sum("source_row").alias("sum_row"),
+    )
+    return rows.join(F.broadcast(spared.select((F.col("read") < F.col("n")).alias("files_spared"))))
+
+
 def contract_columns(spark, sf_dir):
     """The observation contract holds; rows with a NULL in a mandatory column, by column."""
     obs = store.check_observations(observations(spark, sf_dir))
@@ -186,6 +203,7 @@ QUERIES = {
     "columns_for": columns_for,
     "contract_columns": contract_columns,
     "ingest_roundtrip": ingest_roundtrip,
+    "store_roundtrip": store_roundtrip,
     "artifact_audit": artifact_audit,
     "artifact_audit_tables": artifact_audit_tables,
     "source_audit": source_audit,
@@ -198,6 +216,9 @@ ORACLES = {
     "('conversations')) a(t), (VALUES ('right', TRUE, TRUE, TRUE), ('wrong size', TRUE, FALSE, TRUE), ('wrong digest', TRUE, TRUE, FALSE), "
     "('absent', FALSE, FALSE, FALSE)) b(kind, present, size_ok, digest_ok)",
     "source_audit": with_(OBS, _DEDUP_SQL) + "SELECT CAST(count(*) AS BIGINT) AS input_rows, TRUE AS digests, CAST(1 AS BIGINT) AS first_files FROM dd",
+    "store_roundtrip": with_(OBS, SEL, ROWS)
+    + "SELECT selection_id, count(*) AS n_rows, round(sum(distance_km), 3) AS sum_km, CAST(sum(source_row) AS BIGINT) AS sum_row, "
+    "TRUE AS files_spared FROM hit GROUP BY selection_id",
     "obs_clean": with_(OBS, _CLEAN_SQL) + _SHOW + "clean",
     "dedup_levels": with_(OBS, _DEDUP_SQL) + _SHOW + "dd",
     "coverage": with_(OBS, _DEDUP_SQL)

@@ -43,6 +43,24 @@ def cell_index(x: Column) -> Column:
     return F.floor(x / F.lit(float(CELL_DEGREES))).cast("int")
 
 
+def _spread(x: Column) -> Column:
+    """The low eight bits of ``x``, moved to the even places."""
+    for shift, mask in ((4, 0x0F0F), (2, 0x3333), (1, 0x5555)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def curve_cell(cy: Column, cx: Column) -> Column:
+    """Place of a grid cell on the Z-order curve: near cells mostly have near numbers, 0 to 65535."""
+    rows, columns = 90 // CELL_DEGREES, 180 // CELL_DEGREES
+    return F.shiftleft(_spread(cy + F.lit(rows)), 1).bitwiseOR(_spread(cx + F.lit(columns)))
+
+
+def curve_block(cell: Column) -> Column:
+    """The stretch of 64 cells (8 by 8) of the curve that holds a cell."""
+    return F.shiftright(cell, 6)
+
+
 def cell_edge(x: Column) -> Column:
     """Lower edge of the grid cell that holds ``x``, in degrees."""
     return (F.floor(x / F.lit(float(CELL_DEGREES))) * F.lit(CELL_DEGREES)).cast("double")

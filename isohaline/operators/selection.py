@@ -17,6 +17,7 @@ from isohaline.functions.geo import cell_index, half_height, half_width, haversi
 from isohaline.functions.measures import in_recurring
 from isohaline.session import BROADCAST_ROWS, broadcast_if_small
 from isohaline.vocabulary import (
+    CELL_DEGREES,
     DEFAULT_RADIUS_KM,
     EXPANSION_TIERS_KM,
     MAX_RADIUS_KM,
@@ -172,6 +173,22 @@ def within_hull(obs: DataFrame, spans: DataFrame) -> DataFrame:
     return obs.where(F.col("year").between(hull[4].year, hull[5].year)) if "year" in obs.columns else obs
 
 
+def search_cells(selections: DataFrame, widen: bool) -> DataFrame:
+    """Grid cells (_cy, _cx) and period of every selection; ``widen`` covers each radius that may be tried for a point."""
+    radius = F.col("radius_km")
+    widest = F.greatest(radius, F.lit(MAX_RADIUS_KM), F.lit(max(EXPANSION_TIERS_KM)))
+    spans = _spans(selections, widest if widen else radius)
+    spans = spans.where((F.col("_south") <= F.col("_north")) & (F.col("_west") <= F.col("_east")) & (F.col("_from") <= F.col("_to")))
+    rows, columns = 90 // CELL_DEGREES, 180 // CELL_DEGREES
+    index = lambda low, high, limit: F.explode(
+        F.sequence(F.greatest(cell_index(F.col(low)), F.lit(-limit)), F.least(cell_index(F.col(high)), F.lit(limit)))
+    )
+    on_map = (F.col("_south") <= 90) & (F.col("_north") >= -90) & (F.col("_west") <= 180) & (F.col("_east") >= -180)
+    return spans.where(on_map).withColumn("_cy", index("_south", "_north", rows)).withColumn("_cx", index("_west", "_east", columns)).select(
+        "_cy", "_cx", "_from", "_to"
+    )
+
+
 def _match(obs: DataFrame, spans: DataFrame, max_broadcast_rows: int, extra_keys=()) -> DataFrame:
     """Cell equi-join, then the exact box, period and recurring tests. Adds ``distance_km`` for points."""
     cells = spans.withColumn("_cy", F.explode(F.sequence(cell_index(F.col("_south")), cell_index(F.col("_north")))))

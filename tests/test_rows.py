@@ -164,3 +164,46 @@ def test_profiles_with_several_places_take_the_exact_way(spark):
     # Of profile 2 only the two rows within 150 km count.
     assert got["1:2"].raw_rows == 2 and got["1:2"].full_value == pytest.approx(37.5)
     assert got["1:2"].full_id.latitude == 19.0
+
+
+def test_stored_observations_are_pruned_by_the_selections_cells(spark, tmp_path):
+    from isohaline.operators.selection import select_observations
+    from isohaline.sources.observations import read_observations, read_selected, write_observations
+
+    rows, n = [], 0
+    for lat in range(-88, 89, 8):
+        for lon in range(-176, 177, 16):
+            n += 1
+            rows.append(obs_row(platform=str(n), day=f"{2020 + n % 4}-07-10", lat=lat + 0.5, lon=lon + 0.5))
+    rows += [obs_row(platform="edge", day="2021-07-01", lat=90.0, lon=-180.0), obs_row(platform="edge2", day="2021-07-01", lat=-90.0, lon=179.99)]
+    path = str(tmp_path / "store")
+    write_observations(obs_frame(spark, rows), path)
+    whole = read_observations(spark, path)
+    assert whole.count() == len(rows) and "cell" not in whole.columns
+    chosen = selections(
+        spark,
+        selection("far", lat=-72.0, lon=-150.0, radius=400.0, d1="2021-01-01", d2="2021-12-31"),
+        selection("near", lat=40.0, lon=60.0, radius=1200.0, d1="2022-02-01", d2="2023-12-31"),
+        selection("pole", lat=89.0, lon=-179.0, radius=300.0, d1="2021-01-01", d2="2021-12-31"),
+        selection("south", lat=-89.5, lon=179.0, radius=200.0, d1="2021-01-01", d2="2021-12-31"),
+    )
+    near = read_selected(spark, path, chosen, widen=False)
+    pairs = lambda obs: sorted((r.selection_id, r.profile_id) for r in select_observations(obs, chosen).collect())
+    assert pairs(near) == pairs(whole)
+    assert {s for s, _ in pairs(near)} == {"far", "near", "pole", "south"}
+    assert near.count() < len(rows) / 8
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan  # files are left out while the job runs
+    assert read_selected(spark, path, chosen).count() > near.count()
+    assert read_selected(spark, path, chosen.limit(0)).count() == 0
+
+
+def test_curve_cells_interleave_the_bits_of_both_indices(spark):
+    from isohaline.functions.geo import curve_block, curve_cell
+
+    both = spark.range(-45, 46).withColumnRenamed("id", "y").crossJoin(spark.range(-90, 91).withColumnRenamed("id", "x"))
+    cell = curve_cell(F.col("y").cast("int"), F.col("x").cast("int"))
+    got = both.select("y", "x", cell.alias("c"), curve_block(cell).alias("b")).collect()
+    weave = lambda y, x: sum(((x >> i & 1) << 2 * i) | ((y >> i & 1) << 2 * i + 1) for i in range(8))
+    assert all(r.c == weave(r.y + 45, r.x + 90) and r.b == r.c // 64 for r in got)
+    assert len({r.b for r in got}) == 276
