@@ -2,7 +2,8 @@
 
 Every selection box is cut into 2-degree cells and joined with the observations on the cell, then the exact
 box, circle, period and recurring-month tests run on the candidates. So the join is an equi-join at any
-size, and it never pairs a selection with an observation outside its cells.
+size, and it never pairs a selection with an observation outside its cells. Where both sides are shuffled, cells
+that hold more rows than a task should get are quartered, and finest cells that still do are split by a hash.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from isohaline.functions.geo import cell_index, half_height, half_width, haversine_km, in_box, in_envelope
 from isohaline.functions.measures import in_recurring
-from isohaline.session import BROADCAST_ROWS, broadcast_if_small
+from isohaline.session import BROADCAST_ROWS, broadcast_if_small, written
 from isohaline.vocabulary import (
     CELL_DEGREES,
     DEFAULT_RADIUS_KM,
@@ -28,8 +29,9 @@ from isohaline.vocabulary import (
     VIEWS,
 )
 
-# Copies of a selection cell in the shuffled join: one hot cell of the sea is split over this many tasks.
-HOT_CELL_SPLITS = 32
+# The cell tree of the shuffled join: a cell is quartered up to this often where rows crowd.
+TREE_DEPTH = 4
+FINE = 2**TREE_DEPTH  # finest cells along one side of a cell
 
 
 def in_period(time: Column, date_from: Column, date_to: Column) -> Column:
@@ -189,6 +191,79 @@ def search_cells(selections: DataFrame, widen: bool) -> DataFrame:
     )
 
 
+def _fine(x: Column, cell: Column) -> Column:
+    """Which of the finest parts of ``cell`` holds ``x``, 0 to FINE - 1; monotone in ``x`` and held inside the cell."""
+    part = F.floor((x - cell * F.lit(CELL_DEGREES)) * F.lit(FINE / CELL_DEGREES)).cast("int")
+    return F.least(F.greatest(part, F.lit(0)), F.lit(FINE - 1))
+
+
+def crowded_cells(obs: DataFrame, limit: Column | None = None) -> DataFrame:
+    """The cells (_cy, _cx) of ``obs`` with more rows than ``limit``, each with the leaves of its tree.
+
+    ``leaves`` has one entry per leaf: depth d, place y and x among the parts at that depth, and k, the number of
+    hash parts (above one only at full depth). ``spots`` gives for each finest part the depth and k of its leaf. A
+    node is quartered while it holds more than ``limit`` rows, half an equal share of a shuffle partition, so there
+    are at most twice as many crowded cells as shuffle partitions: the table may be broadcast.
+    """
+    tasks = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lat, lon = F.col("latitude"), F.col("longitude")
+    fine = obs.groupBy("_cy", "_cx", _fine(lat, F.col("_cy")).alias("_fy"), _fine(lon, F.col("_cx")).alias("_fx")).agg(F.count("*").alias("_n"))
+    fine = written(fine.where(F.col("_cy").isNotNull() & F.col("_cx").isNotNull()), "fine_cells")
+    if limit is None:
+        limit = F.lit((fine.agg(F.sum("_n")).first()[0] or 0) / (2 * tasks))
+    depth, at = F.lit(TREE_DEPTH), F.col("_n")
+    for d in range(TREE_DEPTH):
+        up = TREE_DEPTH - d
+        node = Window.partitionBy("_cy", "_cx", F.shiftright("_fy", up), F.shiftright("_fx", up))
+        fine = fine.withColumn(f"_n{d}", F.sum("_n").over(node))
+    for d in reversed(range(TREE_DEPTH)):
+        small = F.col(f"_n{d}") <= limit
+        depth, at = F.when(small, F.lit(d)).otherwise(depth), F.when(small, F.lit(0)).otherwise(at)
+    parts = F.greatest(F.lit(1), F.ceil(at / limit)).cast("int")  # 1 wherever the leaf is small enough
+    fine = fine.where(F.col("_n0") > limit).withColumns({"d": depth, "k": parts})
+    up = F.lit(TREE_DEPTH) - F.col("d")
+    down = F.pow(F.lit(2), up).cast("int")
+    leaf = F.struct("d", F.floor(F.col("_fy") / down).cast("int").alias("y"), F.floor(F.col("_fx") / down).cast("int").alias("x"), "k")
+    spot = F.struct((F.col("_fy") * FINE + F.col("_fx")).alias("at"), F.struct("d", "k"))
+    return fine.groupBy("_cy", "_cx").agg(F.collect_set(leaf).alias("leaves"), F.map_from_entries(F.collect_list(spot)).alias("spots"))
+
+
+def _spread_rows(obs: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Adds ``_leaf`` to rows: the leaf of the cell tree that holds them, and their hash part of it."""
+    fy, fx = _fine(F.col("latitude"), F.col("_cy")), _fine(F.col("longitude"), F.col("_cx"))
+    row = [c for c in ("profile_id", "pres") if c in obs.columns]
+    out = obs.join(F.broadcast(crowded.select("_cy", "_cx", "spots")), ["_cy", "_cx"], "left")
+    out = out.withColumn("_spot", F.try_element_at("spots", fy * FINE + fx))
+    down = F.pow(F.lit(2), F.lit(TREE_DEPTH) - F.col("_spot.d")).cast("int")
+    part = F.pmod(F.xxhash64(*row), F.col("_spot.k")).cast("int") if row else F.lit(0)
+    leaf = F.struct(
+        F.col("_spot.d").alias("d"), F.floor(fy / down).cast("int").alias("y"), F.floor(fx / down).cast("int").alias("x"), part.alias("part")
+    )
+    return out.withColumn("_leaf", F.when(F.col("_spot").isNull(), _whole_cell()).otherwise(leaf)).drop("spots", "_spot")
+
+
+def _whole_cell() -> Column:
+    return F.struct(*[F.lit(0).alias(c) for c in ("d", "y", "x", "part")])
+
+
+def _spread_cells(cells: DataFrame, crowded: DataFrame) -> DataFrame:
+    """One row per selection and leaf that its box touches, for every hash part of the leaf."""
+    out = cells.join(F.broadcast(crowded.select("_cy", "_cx", "leaves")), ["_cy", "_cx"], "left")
+    edges = {"_y0": ("_south", "_cy"), "_y1": ("_north", "_cy"), "_x0": ("_west", "_cx"), "_x1": ("_east", "_cx")}
+    out = out.withColumns({name: _fine(F.col(edge), F.col(cell)) for name, (edge, cell) in edges.items()})
+
+    def touched(leaf):
+        down = F.pow(F.lit(2), F.lit(TREE_DEPTH) - leaf["d"])
+        inside = lambda place, low, high: (place * down <= F.col(high)) & ((place + 1) * down > F.col(low))
+        return inside(leaf["y"], "_y0", "_y1") & inside(leaf["x"], "_x0", "_x1")
+
+    whole = F.array(F.struct(*[F.lit(v).alias(c) for c, v in (("d", 0), ("y", 0), ("x", 0), ("k", 1))]))
+    out = out.withColumn("_node", F.explode(F.when(F.col("leaves").isNull(), whole).otherwise(F.filter("leaves", touched))))
+    out = out.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_node.k") - 1)))
+    leaf = F.struct("_node.d", "_node.y", "_node.x", F.col("_part").alias("part"))
+    return out.withColumn("_leaf", leaf).drop("leaves", "_node", "_part", *edges)
+
+
 def _match(obs: DataFrame, spans: DataFrame, max_broadcast_rows: int, extra_keys=()) -> DataFrame:
     """Cell equi-join, then the exact box, period and recurring tests. Adds ``distance_km`` for points."""
     cells = spans.withColumn("_cy", F.explode(F.sequence(cell_index(F.col("_south")), cell_index(F.col("_north")))))
@@ -197,12 +272,10 @@ def _match(obs: DataFrame, spans: DataFrame, max_broadcast_rows: int, extra_keys
     cells, small = broadcast_if_small(cells, max_broadcast_rows)
     keys = ["_cy", "_cx", *extra_keys]
     if not small:
-        # Too many selections to ship everywhere: shuffle both sides, with every cell split over several keys.
-        row = [c for c in ("profile_id", "pres") if c in obs.columns]
-        spread = F.pmod(F.xxhash64(*row), F.lit(HOT_CELL_SPLITS)).cast("int")
-        obs = obs.withColumn("_split", spread)
-        cells = cells.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(HOT_CELL_SPLITS - 1))))
-        keys.append("_split")
+        # Too many selections to ship everywhere: shuffle both sides, on finer cells where the rows crowd.
+        crowded = written(crowded_cells(obs), "crowded_cells")
+        obs, cells = _spread_rows(obs, crowded), _spread_cells(cells, crowded)
+        keys.append("_leaf")
     lat, lon = F.col("latitude"), F.col("longitude")
     month = F.col("calendar_month") if "calendar_month" in obs.columns else F.month("time")
     exact = (
@@ -211,7 +284,7 @@ def _match(obs: DataFrame, spans: DataFrame, max_broadcast_rows: int, extra_keys
         & in_recurring(month, F.col("_month"), F.col("_season"))
     )
     distance = F.when(F.col("_point"), haversine_km(F.col("_lat"), F.col("_lon"), lat, lon))
-    return obs.join(cells, keys).where(exact).withColumn("distance_km", distance).drop("_cy", "_cx", "_split")
+    return obs.join(cells, keys).where(exact).withColumn("distance_km", distance).drop("_cy", "_cx", "_leaf")
 
 
 def select_observations(

@@ -114,6 +114,36 @@ def test_broadcast_and_shuffled_joins_agree(spark):
     assert one == two and len(one) == len(set(one)) and len(one) > 100
 
 
+def test_the_cell_tree_spreads_a_crowded_sea_and_loses_no_row(spark):
+    from isohaline.operators import selection as sel_mod
+
+    rng = random.Random(2)
+    rows = [obs_row(cycle=str(i), lat=rng.uniform(-60, 60), lon=rng.uniform(-170, 170), row=i) for i in range(600)]
+    rows += [obs_row(cycle=str(i), lat=rng.uniform(18, 20), lon=rng.uniform(72, 74), row=i) for i in range(600, 900)]  # one cell
+    rows += [obs_row(cycle=str(i), lat=18.125, lon=72.25, row=i) for i in range(900, 1200)]  # one place, on the edge of a part
+    obs = obs_frame(spark, rows)
+    sel = selections(
+        spark, selection("a"), selection("b", lat=18.1, lon=72.2, radius=8.0), selection("c", lat=-20.0, lon=100.0, radius=2000.0),
+        selection("edge", lat=18.0, lon=72.25, region="r", bounds=(18.125, 20.0, 72.25, 74.0)),
+        selection("whole", lat=0.0, lon=0.0, region="w", bounds=(-60.0, 60.0, -170.0, 170.0)),
+    )
+    one = sorted((r.selection_id, r.profile_id) for r in select_observations(obs, sel).collect())
+    two = sorted((r.selection_id, r.profile_id) for r in select_observations(obs, sel, max_broadcast_rows=0).collect())
+    assert one == two and len(one) == len(set(one)) and {s for s, _ in one} == {"a", "b", "c", "edge", "whole"}
+    placed = obs.withColumns({"_cy": geo.cell_index(F.col("latitude")), "_cx": geo.cell_index(F.col("longitude"))})
+    crowded = sel_mod.crowded_cells(placed, F.lit(20))
+    assert [(r._cy, r._cx) for r in crowded.collect()] == [(9, 36)]
+    leaves = {(leaf.d, leaf.y, leaf.x): leaf.k for leaf in crowded.first().leaves}
+    assert max(leaves.values()) >= 15 and leaves[(4, 1, 2)] == max(leaves.values())  # the one place is split by a hash
+    assert len({d for d, _, _ in leaves}) > 1  # deep only where rows crowd
+    spread = sel_mod._spread_rows(placed, crowded)
+    assert spread.count() == len(rows)
+    sizes = [r["count"] for r in spread.repartition(8, "_cy", "_cx", "_leaf").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 4 * statistics.median(sizes)
+    plain = [r["count"] for r in placed.repartition(8, "_cy", "_cx").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(plain) > 4 * statistics.median(plain)
+
+
 def test_dedup_prefers_mode_then_source_row_within_a_file(spark):
     rows = [
         obs_row(mode="R", row=3), obs_row(mode="D", row=9), obs_row(mode="D", row=7), obs_row(mode="d", row=1),
