@@ -178,8 +178,11 @@ def supplementary_views(prepared: Prepared, climatology: DataFrame) -> dict[str,
     }
 
 
-def evidence_panel(prepared: Prepared, rows: DataFrame, thresholds: dict = THRESHOLDS) -> DataFrame:
-    """Nested panel per selection and parameter, a report whose arrays have a fixed small bound.
+def evidence_panel(
+    prepared: Prepared, rows: DataFrame, thresholds: dict = THRESHOLDS,
+    trace_limit: int = TRACE_LIMIT, position_limit: int = FLOAT_POSITION_LIMIT,
+) -> DataFrame:
+    """Nested panel per selection and parameter, a report whose arrays are bounded by the two limits.
 
     The lists of the trace are samples and say so; the whole trace is ``traced_rows``, all positions ``float_positions``.
     """
@@ -192,7 +195,7 @@ def evidence_panel(prepared: Prepared, rows: DataFrame, thresholds: dict = THRES
         ).alias("aggregation_counts_per_bin")
     )
     order = F.struct((-F.col("profile_count")).alias("_o"), "platform_number", "latitude", "longitude", "profile_count")
-    positions = float_positions(prepared.judged, prepared.facts, limit=FLOAT_POSITION_LIMIT).groupBy(*keys).agg(
+    positions = float_positions(prepared.judged, prepared.facts, limit=position_limit).groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(order)),
             lambda e: F.struct(
@@ -202,7 +205,7 @@ def evidence_panel(prepared: Prepared, rows: DataFrame, thresholds: dict = THRES
         ).alias("float_positions")
     )
     rows_behind = traced_rows(prepared.judged, prepared.facts, prepared.selections)
-    sources = trace_sample(rows_behind, TRACE_LIMIT).select(
+    sources = trace_sample(rows_behind, trace_limit).select(
         *keys, "profile_ids", "float_ids", "source_records", F.col("truncated").alias("trace_sample_truncated")
     )
     checked = rows.where(F.col("status") == "ok").withColumn("evidence_checks", evidence_checks(thresholds))

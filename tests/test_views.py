@@ -212,6 +212,8 @@ def test_answer_end_to_end(spark):
     other = {r.view for r in plan.views(prepared).where("selection_id = 'ok' and not is_primary").collect()}
     assert other == {"time_series", "regional_average"}
     panel = by(plan.evidence_panel(prepared, rows).collect(), "selection_id")["ok"].evidence_panel
+    short = by(plan.evidence_panel(prepared, rows, trace_limit=1, position_limit=1).collect(), "selection_id")["ok"].evidence_panel
+    assert len(short.source_record_sample) == len(short.float_positions) == 1 and short.valid_profile_count == panel.valid_profile_count
     assert panel.baseline_grid_cell.asDict() == {"south": 18.0, "west": 72.0, "north": 20.0, "east": 74.0}
     assert len(panel.evidence_checks) == 5 and len(panel.float_positions) == 2
     extra = plan.supplementary_views(prepared, base_rows(spark))
