@@ -21,17 +21,23 @@ def drop_repeated_headers(raw: DataFrame) -> DataFrame:
 
 
 def clean_rows(raw: DataFrame) -> DataFrame:
-    """Typed and trimmed rows that have all mandatory columns, with profile key and calendar parts."""
-    typed = drop_repeated_headers(raw).withColumns(
-        {
-            **{c: clean_text(F.col(c)) for c in TEXT_COLUMNS},
-            **{c: to_number(F.col(c)) for c in MEASURE_COLUMNS if c != "longitude"},
-            "longitude": wrap_longitude(to_number(F.col("longitude"))),
-            "time": to_utc(F.col("time")),
-        }
-    )
-    keyed = typed.na.drop(subset=MANDATORY_COLUMNS).withColumns(
+    """Typed and trimmed rows that have all mandatory columns, with profile key and calendar parts.
+
+    The mandatory columns are generated as one row. So their test for NULL stays behind the typing, which is done once, and the
+    code that Spark generates falls into methods small enough for the JVM to compile.
+    """
+    typed = {
+        **{c: clean_text(F.col(c)) for c in TEXT_COLUMNS},
+        **{c: to_number(F.col(c)) for c in MEASURE_COLUMNS if c != "longitude"},
+        "longitude": wrap_longitude(to_number(F.col("longitude"))),
+        "time": to_utc(F.col("time")),
+    }
+    rest = [c for c in raw.columns if c not in MANDATORY_COLUMNS]
+    must = F.struct(*[typed[c].alias(c) for c in MANDATORY_COLUMNS])
+    rows = drop_repeated_headers(raw).select(*rest, F.inline(F.array(must)))
+    keyed = rows.na.drop(subset=MANDATORY_COLUMNS).withColumns(
         {
+            **{c: e for c, e in typed.items() if c not in MANDATORY_COLUMNS},
             "profile_id": profile_key(F.col("platform_number"), F.col("cycle_number")),
             "calendar_month": F.month("time"),
             "year": F.year("time"),

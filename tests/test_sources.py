@@ -219,3 +219,16 @@ def test_run_report_and_expectations(spark):
     assert (got.run_count, got.success_rate, got.invalid_output_rate, got.p95_latency_ms) == (20, 0.95, 0.05, 18.0)
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", None)], "x string, want string")
     assert [r.matches for r in evaluate.matches_expected(df, {"x": "want"}).collect()] == [True, False, True]
+
+
+def test_generated_code_of_cleaning_is_small_enough_to_compile(spark):
+    from catalog.cleaning import coverage, dedup_levels, obs_clean
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for query in (obs_clean, dedup_levels, coverage):
+            parts = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().debug().codegenToSeq()
+            assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000  # the JVM leaves larger ones to its interpreter
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
