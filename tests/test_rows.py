@@ -237,3 +237,21 @@ def test_curve_cells_interleave_the_bits_of_both_indices(spark):
     weave = lambda y, x: sum(((x >> i & 1) << 2 * i) | ((y >> i & 1) << 2 * i + 1) for i in range(8))
     assert all(r.c == weave(r.y + 45, r.x + 90) and r.b == r.c // 64 for r in got)
     assert len({r.b for r in got}) == 276
+
+
+def test_profile_sets_rank_kept_rows_and_equal_the_exact_facts(spark):
+    rng = random.Random(5)
+    rows = []
+    for c in range(60):
+        for level in range(rng.choice((1, 2, 3, 8))):
+            moved = c % 7 == 0 and level > 0  # these profiles have several places
+            rows.append(obs_row(cycle=str(c), lat=19.0 + moved, pres=rng.choice((0.0, 5.0, 5.0, 60.0, 100.0, 101.0, 400.0)), row=level,
+                                temp=rng.choice((None, float("nan"), 20.0, 20.5, round(rng.uniform(1, 30), 2))), psal=round(rng.uniform(33, 36), 3),
+                                mode=rng.choice("DDAR"), temp_qc=rng.choice("1114")))
+    obs = obs_frame(spark, rows)
+    exact = profiles.profile_sets(profiles.profile_facts(quality.judged_both(obs), ("parameter",)))
+    got = profiles.profile_sets(profiles.observation_sets(obs))
+    assert sorted(map(str, got.collect())) == sorted(map(str, exact.select(*got.columns).collect()))
+    ranked = profiles.ranked_values(quality.judged_both(obs).where("kept"))
+    assert "ObjectHashAggregate" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert not [c for c in profiles.observation_sets(obs).columns if c.startswith(("rows_", "bin_", "n_"))]
