@@ -314,3 +314,16 @@ def test_second_source_fills_what_the_first_leaves_empty(spark):
     assert got["south"].status == "ok" and got["south"].live_source_used and got["south"].live_source_caveat and got["south"].valid_count == 12
     assert got["nowhere"].status == "no_data" and not got["nowhere"].live_source_used and got["bad"].status == "rejected"
     assert "live_source_used" not in plan.answer(first, sel, base_rows(spark)).columns
+
+
+def test_the_climatology_is_read_once_by_its_audit_and_groups_by_numbers(spark, tmp_path):
+    rows = [obs_row(cycle=f"{m}-{i}", day=f"2005-{m:02d}-10", lat=10.0 + i, temp=20.0 + i) for m in (1, 2) for i in range(4)]
+    climatology.climatology_sets(obs_frame(spark, rows)).write.parquet(str(tmp_path / "sets"))
+    table = climatology.build_climatology(spark.read.parquet(str(tmp_path / "sets")))
+    audit = climatology.climatology_audit(table)
+    assert audit._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    of = {r.baseline_type: r for r in audit.collect()}
+    sizes = sorted(r.n for r in table.where("baseline_type = 'validation'").collect())
+    found = of["validation"]
+    assert (found.n_rows, found.n_min, found.n_max, found.n_median) == (len(sizes), sizes[0], sizes[-1], (sizes[(len(sizes) - 1) // 2] + sizes[len(sizes) // 2]) / 2)
+    assert "selection_id" not in table._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)[1]  # no names on the rows
