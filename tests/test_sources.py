@@ -232,3 +232,11 @@ def test_generated_code_of_cleaning_is_small_enough_to_compile(spark):
             assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000  # the JVM leaves larger ones to its interpreter
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_a_document_is_parsed_once(spark):
+    from isohaline.sources.documents import flatten_documents
+
+    texts = spark.range(3).select(F.concat(F.lit('{"_id":"'), F.col("id").cast("string"), F.lit('_1"}')).alias("body"))
+    plan = flatten_documents(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(_id") == 1
