@@ -7,8 +7,6 @@ texts with a non-ASCII character are shipped to Python (NULL is shipped for all
 from __future__ import annotations
 
 import re
-from functools import reduce
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,9 +66,12 @@ def phrases(family: list[str]) -> str:
 
 
 def mentions(text: Column, literals) -> Column:
-    """Does any literal occur at all? A byte search that spares most texts the pattern."""
-    found = [text.contains(x) for x in dict.fromkeys(literals)]
-    return reduce(or_, found)
+    """Does any literal occur at all? A byte search that spares most texts the pattern.
+
+    Several are walked as an array: written out, the searches of all families made generated methods that the JVM does not compile.
+    """
+    first, *rest = dict.fromkeys(literals)
+    return F.exists(F.array(*map(F.lit, (first, *rest))), lambda x: text.contains(x)) if rest else text.contains(first)
 
 
 def has(text: Column, family: list[str]) -> Column:
@@ -204,13 +205,13 @@ def _day(year: Column, month, day: int = 1) -> Column:
 
 def season_window(season: Column, year: Column) -> tuple[Column, Column]:
     """First and last day; winter runs into the next year as far as the supported years go."""
-    start, end = F.when(season == "winter", _day(year, 12)), None
+    def month_at(i: int) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for name, months in SEASON_MONTHS.items() for x in (name, months[i])]), season)
+
+    winter = season == "winter"
     crossing = F.when(year < MAX_YEAR, F.date_sub(_day(year + 1, 3), 1)).otherwise(F.last_day(_day(year, 12)))
-    end = F.when(season == "winter", crossing)
-    for name, months in SEASON_MONTHS.items():
-        if name != "winter":
-            start = start.when(season == name, _day(year, months[0]))
-            end = end.when(season == name, F.last_day(_day(year, months[-1])))
+    start = _day(year, F.when(winter, 12).otherwise(month_at(0)))
+    end = F.when(winter, crossing).otherwise(F.last_day(_day(year, month_at(-1))))
     return start, end
 
 
@@ -258,6 +259,11 @@ def with_period(df: DataFrame, text: str, reference: Column) -> DataFrame:
     newest = F.least(today, F.lit(LATEST_OBSERVATION).cast("date"))
     relative = F.col("_relative")
 
+    # One year that is asked for: a number, else this or the last year.
+    this = single.isNull() & (relative == "this year")
+    df = df.withColumn("_asked", F.coalesce(single, F.when(relative == "this year", this_year).when(relative == "last year", this_year - 1)))
+    asked = F.col("_asked")
+
     none_int, none_text = F.lit(None).cast("int"), F.lit(None).cast("string")
 
     def span(start, end, month=none_int, calendar_month=none_int, season=none_text):
@@ -277,10 +283,8 @@ def with_period(df: DataFrame, text: str, reference: Column) -> DataFrame:
         F.when(first.isNotNull(), span(_day(first, 1), _day(last, 12, 31), calendar_month=recurring, season=season))
         .when(count.isNotNull(), span(last_from, last_to, calendar_month=recurring, season=season))
         .when(season.isNotNull(), span(season_from, season_to, season=season))
-        .when(single.isNotNull(), year_or_month(single, _day(single, 1), _day(single, 12, 31)))
+        .when(asked.isNotNull(), year_or_month(asked, _day(asked, 1), F.when(this, today).otherwise(_day(asked, 12, 31))))
         .when(relative == "recently", span(F.add_months(month_start, -5), today, calendar_month=month))
-        .when(relative == "this year", year_or_month(this_year, _day(this_year, 1), today))
-        .when(relative == "last year", year_or_month(this_year - 1, _day(this_year - 1, 1), _day(this_year - 1, 12, 31)))
         .when(relative == "latest", span(newest, newest, month=F.month(newest)))
         .otherwise(span(window_from, window_to, calendar_month=month))
     )

@@ -83,11 +83,14 @@ def tag_texts(df: DataFrame, text_col: str, reference_date: date) -> DataFrame:
 def locate(tagged: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Coordinates first; point words put places before regions, otherwise regions come first."""
     q = F.col("query")
-    number = {i: F.when(tx.digits(q), tx.extract(q, tx.COORDINATES, i)) for i in (1, 2, 3, 4)}
+    # One array: four columns of groups made a generated method that the JVM does not compile.
+    group = lambda i: F.nullif(F.call_function("regexp_extract", q, F.lit(tx.COORDINATES), i), F.lit(""))
+    groups = F.when(tx.digits(q), F.transform(F.array(*map(F.lit, (1, 2, 3, 4))), group))
     lat = F.col("_n1").cast("double") * F.when(F.col("_n2") == "s", -1.0).otherwise(1.0)
     lon = F.col("_n3").cast("double") * F.when(F.col("_n4") == "w", -1.0).otherwise(1.0)
     decimals = F.greatest(*[F.length(F.substring_index(F.concat(c, F.lit(".")), ".", 2)) - F.length(F.substring_index(c, ".", 1)) - 1 for c in (F.col("_n1"), F.col("_n3"))])
-    out = tagged.withColumns({**{f"_n{i}": c for i, c in number.items()}, "_point": q.rlike(tx.POINT_WORDS), "_bare": tx.bare_words(q)})
+    out = tagged.withColumns({"_n": groups, "_point": q.rlike(tx.POINT_WORDS), "_bare": tx.bare_words(q)})
+    out = out.withColumns({f"_n{i}": F.get("_n", F.lit(i - 1)) for i in (1, 2, 3, 4)}).drop("_n")
     out = out.withColumns({"_lat": lat, "_lon": lon, "_precision": F.least(F.lit(4), decimals)})
     out = out.withColumn("_words", F.split("_bare", " ")).withColumn("_grams", ngrams(F.col("_words")))
     out = out.withColumns(

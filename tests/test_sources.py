@@ -234,6 +234,21 @@ def test_generated_code_of_cleaning_is_small_enough_to_compile(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def test_generated_code_of_tagging_is_small_enough_to_compile(spark):
+    from datetime import date
+
+    from isohaline.plans import questions
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        texts = spark.createDataFrame([("salinity near Mumbai in July 2024",)], "text string")
+        parts = questions.locate(questions.tag_texts(texts, "text", date(2026, 8, 22)), fuzzy=False)._jdf.queryExecution().debug().codegenToSeq()
+        assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_a_document_is_parsed_once(spark):
     from isohaline.sources.documents import flatten_documents
 
