@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog.fixture import table
 from isohaline import vocabulary as v
 from isohaline.functions import text as tx
-from isohaline.operators.names import fuzzy_names, ngrams, spoken
+from isohaline.operators.names import exact_names, like_first, met_groups, spoken
 from isohaline.session import spread_if_narrow, written
 from isohaline.plans import questions
 
@@ -53,13 +53,12 @@ def _names(df: DataFrame, ids: list[str]) -> DataFrame:
     query = tx.squeeze(tx.fold_case(F.coalesce("text", F.lit(""))))
     texts = df.select(*ids, F.monotonically_increasing_id().alias("row"), tx.bare_words(query).alias("bare"))
     texts = written(texts, "bare")
-    grams = texts.withColumn("words", F.split("bare", " ")).withColumn("grams", ngrams(F.col("words")))
-    exact = grams.withColumns({
-        "place": questions.match_names(F.col("grams"), list(questions._PLACES)),
-        "region": questions.match_names(F.col("grams"), v.REGION_NAME_ORDER),
-    })
-    like = fuzzy_names(texts, "row", "bare", KINDS).withColumnsRenamed({k: f"{k}_like" for k in KINDS})
-    return exact.join(like, "row", "left").select(*ids, "place", "region", "place_like", "region_like")
+    ranked = {"place": questions.ranked_names(list(questions._PLACES)), "region": questions.ranked_names(v.REGION_NAME_ORDER)}
+    names = {name for of in KINDS.values() for name in of}
+    groups = written(met_groups(texts, "row", "bare", names, {name for of in ranked.values() for name in of}), "groups")
+    like = like_first(groups, "row", KINDS).withColumnsRenamed({k: f"{k}_like" for k in KINDS})
+    out = texts.select(*ids, "row").join(exact_names(groups, "row", ranked), "row", "left").join(like, "row", "left")
+    return out.select(*ids, "place", "region", "place_like", "region_like")
 
 
 def document_names(spark, sf_dir):

@@ -61,6 +61,15 @@ def match_names(grams: Column, names: list[str]) -> Column:
     return F.coalesce(strict, _first_hit(grams, aliases, _ALIAS))
 
 
+def ranked_names(names: list[str]) -> dict[str, str]:
+    """Spoken name -> target in the order in which ``match_names`` tries them."""
+    aliases = [a for a in _by_length(_ALIAS) if _ALIAS[a] in set(names)]
+    out: dict[str, str] = {}
+    for name, target in [(n, n) for n in _by_length(names)] + [(a, _ALIAS[a]) for a in aliases]:
+        out.setdefault(spoken(name), target)
+    return out
+
+
 def _names_once(names) -> dict[str, str]:
     out: dict[str, str] = {}
     for n in names:

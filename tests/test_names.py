@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from isohaline.operators.names import SHORTEST, common_blocks, fuzzy_names, like_names, pieces
+from isohaline.operators import names as module
+from isohaline.operators.names import SHORTEST, common_blocks, exact_names, fuzzy_names, like_names, met_groups, pieces
 from isohaline.plans import questions
 from isohaline.vocabulary import REGION_NAME_ORDER
 
@@ -80,3 +81,31 @@ def test_first_group_of_a_text_counts(spark):
 
 def test_no_texts(spark):
     assert fuzzy_names(spark.createDataFrame([], "id long, bare string"), "id", "bare", KINDS).count() == 0
+
+
+def test_groups_met_in_one_pass(monkeypatch):
+    """Every group like a name or equal to a short one, in texts cut anywhere; of other words none."""
+    monkeypatch.setattr(module, "CHUNK", 40)
+    rng = random.Random(5)
+    other = ["salinity", "near", "the", "of", "ü", "", "\U0001f30a" * 3, "y" * 45]
+    texts = [" ".join(rng.choice([mangled(rng, rng.choice(NAMES)), "goa", *other]) for _ in range(rng.randint(0, 40))) for _ in range(120)] + ["", " ", "goa"]
+    lookup = module._Lookup(NAMES, ["goa"])
+    got = {(*g,) for chunk in module._chunks(texts) for g in lookup.groups(chunk)}
+    groups = set()
+    for row, text in enumerate(texts):
+        words = text.split(" ")
+        groups |= {(row, ((3 - n) << 40) + k, " ".join(words[k : k + n])) for n in (3, 2, 1) for k in range(len(words) - n + 1)}
+    assert got <= groups
+    near = {gram: any(difflib.SequenceMatcher(None, name, gram).ratio() >= 0.85 for name in NAMES) for gram in {g[2] for g in groups}}
+    want = {g for g in groups if g[2] == "goa" or (len(g[2]) >= SHORTEST and near[g[2]])}
+    assert want <= got and len(want) > 400
+    assert len(got - want) < 0.02 * len(groups)
+
+
+def test_only_close_groups_leave_a_text(spark):
+    text = "the salinity of the water column was measured near the shelf during every cruise of the year " * 200 + "off mahrasthra and goa"
+    df = spark.createDataFrame([(7, text), (8, None), (9, "")], "id long, bare string")
+    got = met_groups(df, "id", "bare", NAMES, ["goa"])
+    assert {(r.id, r.gram) for r in got.collect()} == {(7, "mahrasthra"), (7, "goa")}  # of 9,000 groups
+    first = exact_names(got, "id", {"place": {"goa": "Goa"}, "region": {"nowhere": "x"}}).collect()
+    assert [(r.id, r.place, r.region) for r in first] == [(7, "Goa", None)]
