@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import codecs
+import itertools
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isohaline.schema import RAW_EXPORT, ContractError
-from isohaline.session import broadcast_if_small, written
+from isohaline.session import broadcast_if_small, checkpoint_dir, written
+from isohaline.sources.sha256 import Sha256
 from isohaline.vocabulary import EXPORT_COLUMNS
 
+WHOLE = 512 * 1024**2  # largest file that one task reads whole, in bytes
+STEP = 256 * 1024**2  # bytes of a larger file that one task hashes
+CODECS = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".zstd")
+
 # ---- Fixed values: words that count as a missing value in an export -------------------------------
 MISSING_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -141,15 +151,82 @@ def require_headers(spark: SparkSession, glob: str) -> None:
         raise ContractError(f"{bad[0]['path']}: header or units row does not match the frozen schema")
 
 
-def file_digests(spark: SparkSession, glob: str) -> DataFrame:
-    """path, size and SHA-256 of files, hashed by the tasks that read them (up to 2 GB per file)."""
-    files = spark.read.format("binaryFile").load(glob)
-    return files.select(
-        F.col("path"),
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+def file_digests(spark: SparkSession, glob: str, whole: int = WHOLE, step: int = STEP) -> DataFrame:
+    """path, name, size and SHA-256 of files, hashed by the tasks that read them.
+
+    A file above ``whole`` bytes is hashed in steps of about ``step`` bytes (``_in_steps``), so no task reads it whole. Those that
+    Spark's text source would decompress, by their names, are read whole (up to 2 GB).
+    """
+    read = spark.read.format("binaryFile")
+    shape = [F.col("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes")]
+    files = read.load(glob)
+    out = files.where(F.col("length") <= whole).select(*shape, F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select(*shape, F.col("_metadata.file_path").alias("_file")).collect()
+    packed = [f for f in large if f.name.endswith(CODECS)]
+    if packed:
+        out = out.unionByName(read.load([f.path for f in packed]).select(*shape, F.sha2("content", 256).alias("sha256")))
+    large = [f for f in large if f not in packed]
+    if large:
+        digests = _in_steps(spark, {f._file: (f.path, f.size_bytes) for f in large}, step)
+        rows = [(f.path, f.name, f.size_bytes, digests[f._file]) for f in large]
+        out = out.unionByName(spark.createDataFrame(rows, "path string, name string, size_bytes bigint, sha256 string"))
+    return out
+
+
+def _hashing(states: dict[str, bytes], first: bool):
+    """Takes lines in order of their files and place; gives the state of each file after them, and their bytes."""
+
+    def run(batches):
+        chains, counts = {}, {}
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for file, group in itertools.groupby(rows, lambda r: r[0]):
+                lines = b"\n".join(line for _, line in group)
+                follows = file in chains or not first
+                chains.setdefault(file, Sha256(states[file])).update(b"\n" + lines if follows else lines)
+                counts[file] = counts.get(file, 0) + len(lines) + 1
+        after = [pa.array(list(chains), pa.string()), pa.array([c.state for c in chains.values()], pa.binary()), pa.array([counts[f] for f in chains], pa.int64())]
+        yield pa.RecordBatch.from_arrays(after, ["file", "state", "bytes"])
+
+    return run
+
+
+def _in_steps(spark: SparkSession, files: dict[str, tuple[str, int]], step: int) -> dict[str, str]:
+    """SHA-256 of files given as URI -> (path, size), which is one chain over their bytes.
+
+    The files are cut at line feeds by the splits of the text source and dealt to steps by their place. One job per step hashes
+    the next part of every file, each in one task, from the state that the step before left: of each file, some hundred bytes
+    pass through the driver. The parts are written under the checkpoint folder, so each byte is read from its file once.
+    """
+    lines = spark.read.option("lineSep", "\n").text([path for path, _ in files.values()])
+    place = F.col("_metadata.file_block_start")
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("file"), place.alias("start"), F.floor(place / step).alias("step"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("line"),
+    )
+    path = f"{checkpoint_dir(spark).rstrip('/')}/parts-{uuid.uuid4().hex}"
+    lines.write.partitionBy("step").parquet(path)
+    parts = spark.read.parquet(path)
+    steps = sorted(r.step for r in parts.select("step").distinct().collect())
+
+    def run(mark: bytes) -> dict[str, tuple[bytes, int]]:
+        states = {file: Sha256().update(mark).state for file in files}
+        read = dict.fromkeys(files, -1)  # bytes of lines and of the line feeds between them
+        for k in steps:
+            part = parts.where(F.col("step") == k).repartition(max(8, 2 * len(files)), "file").sortWithinPartitions("file", "start", "row")
+            for r in part.select("file", "line").mapInArrow(_hashing(dict(states), k == steps[0]), "file string, state binary, bytes bigint").collect():
+                states[r.file], read[r.file] = bytes(r.state), read[r.file] + r.bytes
+        return {file: (states[file], read[file] + len(mark)) for file in files}
+
+    out, left = {}, dict(files)
+    for mark in (b"", codecs.BOM_UTF8):  # the text source leaves out a byte order mark
+        if left:
+            for file, (state, n) in run(mark).items():
+                if file in left and left[file][1] - n in (0, 1):
+                    out[file] = Sha256(state).update(b"\n" * (left.pop(file)[1] - n)).hexdigest()
+    if left:
+        raise ContractError(f"{next(iter(left))}: the bytes read are not those of the file")
+    return out
 
 
 def source_audit(spark: SparkSession, glob: str, rows: DataFrame, origins: dict[str, str], otherwise: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Exports, manifests, documents, cases and run logs."""
 
+import codecs
+import gzip
 import hashlib
 import json
 import os
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from isohaline.operators import evaluate, ingest
 from isohaline.schema import RAW_EXPORT, ContractError
 from isohaline.sources import cases, exports, manifest
+from isohaline.sources.sha256 import Sha256
 from isohaline.sources.documents import cap_documents, flatten_documents, read_documents
 from isohaline.vocabulary import EXPORT_COLUMNS
 
@@ -183,6 +186,32 @@ def document(t_mode="D", s_mode="D", doc_id="7901125_002", cycle=2):
     }
 
 
+def test_large_files_are_hashed_in_steps(spark, tmp_path):
+    """No task reads a large file whole; any bytes, ends and names give the digest of the whole file."""
+    rng = random.Random(6)
+    bodies = {
+        "a.parquet": rng.randbytes(90_000), "b c.csv": b"x,y\r\n1,2\r\n" * 9_000, "ends": b"\n" * 50_000, "no feed": b"z" * 60_000,
+        "mark.csv": codecs.BOM_UTF8 + b"a\n" * 30_000, "cut.gz": gzip.compress(rng.randbytes(70_000)), "small": b"abc",
+    }
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = {r.name: (r.size_bytes, r.sha256) for r in exports.file_digests(spark, f"{tmp_path}/*", whole=40_000, step=30_000).collect()}
+        assert got == {name: (len(body), hashlib.sha256(body).hexdigest()) for name, body in bodies.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_state_of_a_digest_goes_on():
+    body = bytes(range(256)) * 5
+    for cut in (0, 1, 55, 56, 63, 64, 65, 700):
+        first = Sha256().update(body[:cut])
+        assert Sha256(first.state).update(body[cut:]).hexdigest() == hashlib.sha256(body).hexdigest()
+        assert first.hexdigest() == hashlib.sha256(body[:cut]).hexdigest()
+
+
 def test_documents(spark, tmp_path):
     docs = [document(), document("R", "D", "7901125_003", 3), {"_id": "broken", "geolocation": {}}]
     (tmp_path / "d.json").write_text("\n".join(map(json.dumps, docs)) + "\n{cut\n")
